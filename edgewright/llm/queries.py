@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgewright.llm import copies, survivors
+from edgewright.llm import copies, history, survivors
 from edgewright.runtime import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.found(table(spark, sf_dir, "sources"), table(spark, sf_dir, "merge_relations"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.found(table(spark, sf_dir, "merge_relations"))
 
@@ -24,6 +28,6 @@ def p6_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.survivors(table(spark, sf_dir, "merge_relations"), table(spark, sf_dir, "ref_relations"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_edges, p6_found, p6_survivors)}
+QUERIES = {f.__name__: f for f in (p1_found, p5_found, p5_edges, p6_found, p6_survivors)}
 
 ORACLE: dict[str, str] = {}
