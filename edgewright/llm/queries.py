@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgewright.llm import copies, history, survivors
+from edgewright.llm import copies, entries, history, survivors
 from edgewright.runtime import table
 
 
@@ -12,6 +12,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.found(table(spark, sf_dir, "sources"), table(spark, sf_dir, "merge_relations"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entries.found(*(table(spark, sf_dir, t) for t in ("merge_relations", "lattice_items", "ref_artifacts", "ref_relations")))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.found(table(spark, sf_dir, "merge_relations"))
 
@@ -28,6 +32,6 @@ def p6_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.survivors(table(spark, sf_dir, "merge_relations"), table(spark, sf_dir, "ref_relations"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p5_found, p5_edges, p6_found, p6_survivors)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p5_found, p5_edges, p6_found, p6_survivors)}
 
 ORACLE: dict[str, str] = {}
