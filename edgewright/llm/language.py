@@ -48,7 +48,7 @@ FIT_SENTENCES = 12_000
 STEPS = 200_000
 WINDOW, STRIDE = 64, 48
 DIM, FILTERS, WIDTHS = 8, 32, (2, 3, 4, 5)
-SWITCH = 4.0
+SWITCH = 3.0
 FIRM = 0.9
 #: Sentences seen this often under their label are never dropped.
 SUPPORTED = 3
@@ -263,7 +263,7 @@ def _examples(chosen: list, forms: dict[str, set[str]], r: np.random.Generator)
 
 
 def _evidence(net: ByteNet, texts: list[str]) -> np.ndarray:
-    """Log-likelihoods of each text: the mean over its windows."""
+    """Log-likelihoods of each text: the mean over its windows, times their number up to 3."""
     windows, ends = [], [0]
     for t in texts:
         windows += windows_of(as_bytes(t))
@@ -271,7 +271,8 @@ def _evidence(net: ByteNet, texts: list[str]) -> np.ndarray:
     if not texts:
         return np.zeros((0, len(CODES)), np.float32)
     lp = np.maximum(net.log_probabilities(matrix(windows)), -12.0)
-    return np.add.reduceat(lp, ends[:-1]) / np.diff(ends)[:, None]
+    n = np.diff(ends)
+    return np.add.reduceat(lp, ends[:-1]) * (np.minimum(n, 3) / n)[:, None]
 
 
 class Labeller:
@@ -330,7 +331,7 @@ class Labeller:
         out, start = [], 0
         for i in range(1, n + 1):
             if i == n or path[i] != path[start]:
-                q = lp[start:i].sum(0) / (i - start) ** 0.5
+                q = lp[start:i].sum(0) / (i - start)  # an average: many like sentences are not independent evidence
                 q = np.exp(q - q.max())
                 out.append((CODES[path[start]], float(q[path[start]] / q.sum())))
                 start = i

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from edgewright.llm import copies, entries, history, survivors
+from edgewright.llm import copies, entries, history, language, packing, survivors, tokens
 from edgewright.runtime import table
 
 
@@ -32,6 +33,36 @@ def p6_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.survivors(table(spark, sf_dir, "merge_relations"), table(spark, sf_dir, "ref_relations"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p5_found, p5_edges, p6_found, p6_survivors)}
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encoded(table(spark, sf_dir, "documents"))
+
+
+def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text doesn't come back from its ids: none."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = tokens.decoded(tokens.encoded(docs)).withColumnRenamed("text", "again")
+    return docs.join(back, "doc_id").where(~F.col("text").eqNullSafe(F.col("again"))).select("doc_id")
+
+
+def p8_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_containers"))
+
+
+def p8_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per kind: containers, tokens and the share of the capacity in use."""
+    kinds = table(spark, sf_dir, "pack_containers")
+    a = p8_assign(spark, sf_dir).groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("used"))
+    return a.join(kinds, "container_kind").groupBy("container_kind").agg(F.count("*").alias("n_containers"), F.sum("used").alias("n_tokens"), (F.sum("used") / F.sum("capacity_tokens")).alias("fill"), F.max(F.col("used") <= F.col("capacity_tokens")).alias("fits"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.found(table(spark, sf_dir, "documents"))
+
+
+def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.segments(table(spark, sf_dir, "documents")).select("doc_id", "segment_no", "n_segments", "lang", "confidence")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p5_found, p5_edges, p6_found, p6_survivors, p7_ids, p7_round_trip, p8_assign, p8_use, p9_found, p9_segments)}
 
 ORACLE: dict[str, str] = {}
