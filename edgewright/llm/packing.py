@@ -208,8 +208,11 @@ def packed(sized: DataFrame, containers: DataFrame, windows: int = WINDOWS) -> D
     spark = sized.sparkSession
     items = sized.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("n_tokens", F.lit(0)).cast("int").alias("n_tokens"))
     total = items.agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).first()
-    kind_rows = spark.createDataFrame([(k, int(c), max(1, -(-int(total.t or 0) // (int(c) * windows)), -(-total.n // 20_000))) for k, c in kinds.items()], "container_kind string, cap int, shards long")
-    spread = items.join(F.broadcast(kind_rows)) if kinds else items.limit(0).join(kind_rows)
+    if not kinds:
+        return spark.createDataFrame([], "container_kind string, doc_id long, piece_no int, n_tokens int, container_id string")
+    shards = lambda cap: max(1, -(-int(total.t or 0) // (cap * windows)), -(-total.n // 20_000))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("container_kind"), F.lit(int(c)).alias("cap"), F.lit(shards(int(c))).alias("shards")) for k, c in sorted(kinds.items()))))
+    spread = items.select("doc_id", "n_tokens", each.alias("k")).select("doc_id", "n_tokens", "k.*")
     full = spread.where("n_tokens >= cap").select("container_kind", "doc_id", "cap", F.explode(F.sequence(F.lit(0), F.expr("int(n_tokens div cap) - 1"))).alias("piece_no"))
     whole = full.select("container_kind", "doc_id", "piece_no", F.col("cap").alias("n_tokens"), F.concat_ws("-", "container_kind", F.lit("full"), "doc_id", "piece_no").alias("container_id"))
     rest = spread.where("n_tokens = 0 or n_tokens % cap > 0").select("container_kind", "doc_id", F.expr("int(n_tokens div cap)").alias("piece_no"), F.expr("n_tokens % cap").alias("n_tokens"), F.pmod(F.xxhash64("doc_id"), F.col("shards")).alias("shard"))
