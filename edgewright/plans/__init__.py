@@ -1 +1 @@
-MODULES = ("core_problems",)
+MODULES = ("core_problems", "edge_queries")
