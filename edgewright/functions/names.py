@@ -99,14 +99,19 @@ def dates(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?<!\d)(0[1-9]\d{2}|1[0-2]\d{2})(?!\d)"), 1)))
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any script at the ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def address_facets(c: Column) -> Column:
     """Facets of a virtual address ``Family [k=v, ...]`` as sorted ``k=v`` strings with ``family``;
     null if it has no brackets, a piece without ``=``, or an empty key or value.  A later key wins."""
-    family = F.trim(F.regexp_extract(c, r"^\s*(.+?)\s*\[([^\]]*)\]\s*$", 1))
-    inside = F.regexp_extract(c, r"^\s*(.+?)\s*\[([^\]]*)\]\s*$", 2)
-    pieces = F.transform(F.split(inside, ","), lambda p: F.trim(p))
-    good = (family != "") & F.forall(pieces, lambda p: (p == "") | p.rlike(r"^[^=]*[^=\s][^=]*=.*\S.*$"))
-    pairs = F.transform(F.filter(pieces, lambda p: p != ""), lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("k"), F.trim(F.substring(p, F.instr(p, "=") + 1, F.length(p))).alias("v")))
+    family = strip(F.regexp_extract(c, r"(?U)^\s*(.+?)\s*\[([^\]]*)\]\s*$", 1))
+    inside = F.regexp_extract(c, r"(?U)^\s*(.+?)\s*\[([^\]]*)\]\s*$", 2)
+    pieces = F.transform(F.split(inside, ","), lambda p: strip(p))
+    good = (family != "") & F.forall(pieces, lambda p: (p == "") | p.rlike(r"(?U)^[^=]*[^=\s][^=]*=.*\S.*$"))
+    pairs = F.transform(F.filter(pieces, lambda p: p != ""), lambda p: F.struct(strip(F.substring_index(p, "=", 1)).alias("k"), strip(F.substring(p, F.instr(p, "=") + 1, F.length(p))).alias("v")))
     last = F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.lit(1000)), lambda later: later["k"] == e["k"]) & (e["k"] != "family"))
     facets = F.array_sort(F.concat(F.array(F.concat(F.lit("family="), family)), F.transform(last, lambda e: F.concat(e["k"], F.lit("="), e["v"]))))
     return F.when(good, facets)

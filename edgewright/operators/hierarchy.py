@@ -195,7 +195,7 @@ def _wide_parents(sets: DataFrame, broad: DataFrame, best: Column) -> DataFrame:
     posted = single.join(often, ["family", "facet"]).groupBy("family", "facets", "first_id").agg(F.min(F.struct("often", "facet")).alias("r")).select("family", F.col("r.facet").alias("facet"), F.col("facets").alias("inside"), "first_id")
     probe = broad.select("family", "facets", F.explode("facets").alias("facet"))
     hits = probe.join(posted, ["family", "facet"]).where((F.size("inside") < F.size("facets")) & (F.size(F.array_except("inside", "facets")) == 0)).select("family", "facets", "inside", "first_id")
-    bare = broad.join(sets.where(F.size("facets") == 0).select("family", F.col("facets").alias("inside"), "first_id"), "family").select("family", "facets", "inside", "first_id")
+    bare = broad.select("family", "facets").join(sets.where(F.size("facets") == 0).select("family", F.col("facets").alias("inside"), "first_id"), "family").select("family", "facets", "inside", "first_id")
     return hits.unionByName(bare).groupBy("family", "facets").agg(best)
 
 
