@@ -162,9 +162,11 @@ def match(values: DataFrame, entries: DataFrame, threshold: float = THRESHOLD, m
     names = entries.where("kind <> 'relation' and text like '%/%'").select(F.explode(F.array(F.lower(F.substring_index("text", "/", 1)))).alias("org")).distinct().collect()
     orgs = {"".join(re.findall(r"[^\W_]+", r.org)): r.org for r in names}
     parse = _parser(orgs)
+    stage = Stage(values.sparkSession, "match")  # texts are parsed once, not in each branch below
     forms = entries.where("text is not null").distinct().withColumn("p", parse("kind", "text"))
     full = entries.where("text like '%/%'").groupBy("ref_id").agg(F.min(F.lower(F.substring_index("text", "/", 1))).alias("own_org"))
     forms = forms.select("kind", "ref_id", "p.spec", "p.body", "p.grams").where("body <> ''").distinct().join(full, "ref_id", "left")
+    forms = stage.write(forms, "forms")
     posted = forms.withColumn("gram", F.explode("grams")).drop("grams")
     count = forms.groupBy("kind").agg(F.count("*").alias("n"))
     often = posted.groupBy("kind", "gram").agg(F.count("*").alias("df"))
@@ -174,6 +176,7 @@ def match(values: DataFrame, entries: DataFrame, threshold: float = THRESHOLD, m
     posted = posted.join(norm, ["kind", "ref_id", "spec", "body"]).select("kind", "spec", "gram", "ref_id", F.col("body").alias("ref_body"), "own_org", "w", "ref_norm")
 
     parsed = values.where("value is not null").distinct().withColumn("p", parse("kind", "value")).select("kind", "value", "p.spec", "p.org", "p.body", "p.grams")
+    parsed = stage.write(parsed, "values")
     vg = parsed.select("kind", "value", "spec", "org", "body", F.explode("grams").alias("gram"))
     vg = vg.join(idf.withColumnRenamed("w", "vw"), ["kind", "gram"], "left").join(count, "kind").withColumn("vw", F.coalesce("vw", F.log(1 + F.col("n"))))
     vnorm = vg.groupBy("kind", "value").agg(F.sqrt(F.sum(F.col("vw") * F.col("vw"))).alias("value_norm"))
