@@ -23,6 +23,18 @@ from edgewright.runtime import Stage
 SIBLING_BUCKETS = 256
 
 
+def _fingerprint(c: Column, one: str, two: str) -> list[Column]:
+    """128 bits of an id, two long columns that stand for its text in all rounds; null for null."""
+    return [F.when(c.isNotNull(), F.xxhash64(c)).alias(one), F.when(c.isNotNull(), F.xxhash64(F.lit("id"), c)).alias(two)]
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for more in frames[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def nested_sets(links: DataFrame, with_path: bool = False, sibling_buckets: int = SIBLING_BUCKETS) -> DataFrame:
     """Nested sets of a forest given as ``links(id, parent)``, both strings, ``id`` unique.
 
@@ -31,93 +43,78 @@ def nested_sets(links: DataFrame, with_path: bool = False, sibling_buckets: int
     ``[pre + 1, pre + size - 1]``; its ancestors are those whose range encloses its ``pre``.
 
     Defined edge cases: a null parent, or one that is no ``id``, makes the row a root (depth 0, own
-    root); rows of null id are left out; nodes in a loop or below one get root '' , depth -1 and
+    root, null parent); rows of null id are left out; nodes in a loop or below one get root '' , depth -1 and
     null pre, size and path; an empty input gives an empty result; other columns are ignored.
     """
-    spark = links.sparkSession
-    stage = Stage(spark, "hierarchy")
-    nodes = links.select(F.col("id").cast("string").alias("id"), F.col("parent").cast("string").alias("parent")).where("id is not null")
-    known = nodes.select(F.col("id").alias("known"))
-    nodes = stage.write(
-        nodes.join(known, nodes.parent == known.known, "left").select("id", F.col("known").alias("parent")), "nodes"
-    )
-    sizes = _sizes_upward(stage, nodes)
-    return _ranges_downward(stage, nodes, sizes, with_path, sibling_buckets)
+    stage = Stage(links.sparkSession, "hierarchy")
+    given = links.select(F.col("id").cast("string").alias("id"), F.col("parent").cast("string").alias("parent")).where("id is not null")
+    given = given.select("id", "parent", *_fingerprint(F.col("id"), "i1", "i2"), *_fingerprint(F.col("parent"), "p1", "p2"))
+    known = given.select(F.col("i1").alias("p1"), F.col("i2").alias("p2"), F.lit(True).alias("known"))
+    nodes = given.join(known, ["p1", "p2"], "left")
+    kept = lambda c: F.when(F.col("known"), F.col(c)).alias(c)
+    nodes = stage.write(nodes.select("id", kept("parent"), "i1", "i2", kept("p1"), kept("p2")), "nodes")
+    placed = _ranges_downward(stage, nodes, _sizes_upward(stage, nodes), with_path, sibling_buckets)
+    names = nodes.select("i1", "i2", "id", "parent")
+    roots = nodes.where("p1 is null").select(F.col("i1").alias("r1"), F.col("i2").alias("r2"), F.col("id").alias("root"))
+    out = placed.join(names, ["i1", "i2"]).join(roots, ["r1", "r2"], "left")
+    return out.select("id", "parent", F.coalesce("root", F.lit("")).alias("root"), "depth", "pre", "size", *(["path"] if with_path else []))
 
 
 def _sizes_upward(stage: Stage, nodes: DataFrame) -> DataFrame:
-    """``id, size`` of every node with children; a node with none has size 1 and no row."""
-    active = nodes.where("parent is not null").select("id", F.col("parent").alias("ptr"), F.lit(1).cast("long").alias("size"))
-    active = stage.write(active, "up")
+    """``i1, i2, size`` of every node with children; a node with none has size 1 and no row."""
+    active = stage.write(nodes.where("p1 is not null").select("i1", "i2", "p1", "p2", F.lit(1).cast("long").alias("size")), "up")
     left = active.count()
     log: list[DataFrame] = []
     while left:
-        gains = active.groupBy(F.col("ptr").alias("id")).agg(F.sum("size").alias("gain"))
-        gains = stage.write(gains, "gain")
+        gains = stage.write(active.groupBy(F.col("p1").alias("i1"), F.col("p2").alias("i2")).agg(F.sum("size").alias("gain")), "gain")
         log.append(gains)
-        grown = active.join(gains, "id", "left").select("id", "ptr", (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size"))
-        hop = active.select(F.col("id").alias("ptr"), F.col("ptr").alias("next"))
-        new = stage.write(grown.join(hop, "ptr").select("id", F.col("next").alias("ptr"), "size"), "up")
+        hop = active.select(F.col("i1").alias("p1"), F.col("i2").alias("p2"), F.col("p1").alias("n1"), F.col("p2").alias("n2"))
+        going = active.join(hop, ["p1", "p2"]).select("i1", "i2", F.col("n1").alias("p1"), F.col("n2").alias("p2"), "size")
+        new = stage.write(going.join(gains, ["i1", "i2"], "left").select("i1", "i2", "p1", "p2", (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size")), "up")
         stage.drop(active)
         active, before, left = new, left, new.count()
         if left == before:  # no pointer passed a root in this round: only loops are left
             break
     if not log:
-        return nodes.select("id", F.lit(1).cast("long").alias("size")).limit(0)
-    total = log[0]
-    for more in log[1:]:
-        total = total.unionByName(more)
-    return total.groupBy("id").agg((F.sum("gain") + 1).alias("size"))
+        return nodes.select("i1", "i2", F.lit(1).cast("long").alias("size")).limit(0)
+    return _all(log).groupBy("i1", "i2").agg((F.sum("gain") + 1).alias("size"))
 
 
 def _ranges_downward(stage: Stage, nodes: DataFrame, sizes: DataFrame, with_path: bool, buckets: int) -> DataFrame:
-    sized = nodes.join(sizes, "id", "left").select("id", "parent", F.coalesce("size", F.lit(1).cast("long")).alias("size"))
-    bucket = F.pmod(F.xxhash64("id"), F.lit(buckets))
-    children = sized.where("parent is not null").withColumn("bucket", bucket)
-    within = Window.partitionBy("parent", "bucket").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    children = children.withColumn("local", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    totals = sized.where("parent is not null").groupBy("parent", bucket.alias("bucket")).agg(F.sum("size").alias("total"))
-    across = Window.partitionBy("parent").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sized = nodes.join(sizes, ["i1", "i2"], "left").select("id", "i1", "i2", "p1", "p2", F.coalesce("size", F.lit(1).cast("long")).alias("size"))
+    sized = stage.write(sized, "sized")
+    children = sized.where("p1 is not null").withColumn("bucket", F.pmod("i2", F.lit(buckets)))
+    within = Window.partitionBy("p1", "p2", "bucket").orderBy("i1", "i2").rowsBetween(Window.unboundedPreceding, -1)
+    totals = children.groupBy("p1", "p2", "bucket").agg(F.sum("size").alias("total"))
+    across = Window.partitionBy("p1", "p2").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("base", F.coalesce(F.sum("total").over(across), F.lit(0))).drop("total")
-    children = children.join(totals, ["parent", "bucket"]).select("id", "parent", "size", (F.col("local") + F.col("base") + 1).alias("offset"))
-
-    steps = [F.array("id").alias("path")] if with_path else []
-    base = stage.write(sized.where("parent is null").select("id", "parent", "size", F.col("id").alias("root"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("pre"), *steps), "roots")
-    waiting = stage.write(
-        children.select("id", "parent", "size", F.col("parent").alias("ptr"), "offset", F.lit(1).alias("hops"), *steps), "down"
-    )
-    placed, left = [base], waiting.count()
-    names = ["id", "parent", "size", "root", "depth", "pre", *(["path"] if with_path else [])]
+    children = children.withColumn("local", F.coalesce(F.sum("size").over(within), F.lit(0))).join(totals, ["p1", "p2", "bucket"])
+    path = ["path"] if with_path else []
+    start = [F.array("id").alias("path")] if with_path else []
+    null = F.lit(None).cast("long")
+    done = sized.where("p1 is null").select("i1", "i2", "size", F.col("i1").alias("r1"), F.col("i2").alias("r2"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("pre"), *start)
+    waiting = children.select("i1", "i2", "size", "p1", "p2", (F.col("local") + F.col("base") + 1).alias("offset"), F.lit(1).alias("hops"), *start)
+    placed, waiting = [stage.write(done, "roots")], stage.write(waiting, "down")
+    left = waiting.count()
+    names = ["i1", "i2", "size", "r1", "r2", "depth", "pre", *path]
     while left:
-        done = placed[0]
-        for more in placed[1:]:
-            done = done.unionByName(more)
-        path = [F.col("path").alias("t_path")] if with_path else []
-        target = done.select(F.col("id").alias("ptr"), "root", "depth", F.col("pre").alias("t_offset"), F.lit(None).cast("string").alias("t_ptr"), F.lit(0).alias("t_hops"), *path).unionByName(
-            waiting.select(F.col("id").alias("ptr"), F.lit(None).cast("string").alias("root"), F.lit(None).cast("int").alias("depth"), F.col("offset").alias("t_offset"), F.col("ptr").alias("t_ptr"), F.col("hops").alias("t_hops"), *path)
+        far = [F.col("path").alias("t_path")] if with_path else []
+        target = _all(placed).select(F.col("i1").alias("p1"), F.col("i2").alias("p2"), "r1", "r2", "depth", F.col("pre").alias("t_offset"), null.alias("t1"), null.alias("t2"), F.lit(0).alias("t_hops"), *far).unionByName(
+            waiting.select(F.col("i1").alias("p1"), F.col("i2").alias("p2"), null.alias("r1"), null.alias("r2"), F.lit(None).cast("int").alias("depth"), F.col("offset").alias("t_offset"), F.col("p1").alias("t1"), F.col("p2").alias("t2"), F.col("hops").alias("t_hops"), *far)
         )
-        joined = stage.write(
-            waiting.join(target, "ptr").select(
-                "id", "parent", "size", "root", (F.col("depth") + F.col("hops")).alias("depth"),
-                F.col("t_ptr").alias("ptr"), (F.col("offset") + F.col("t_offset")).alias("offset"), (F.col("hops") + F.col("t_hops")).alias("hops"),
-                *([F.concat("t_path", "path").alias("path")] if with_path else []),
-            ),
-            "down",
+        joined = waiting.join(target, ["p1", "p2"]).select(
+            "i1", "i2", "size", "r1", "r2", (F.col("depth") + F.col("hops")).alias("depth"), F.col("t1").alias("p1"), F.col("t2").alias("p2"), (F.col("offset") + F.col("t_offset")).alias("offset"), (F.col("hops") + F.col("t_hops")).alias("hops"),
+            *([F.concat("t_path", "path").alias("path")] if with_path else []),
         )
-        placed.append(joined.where("root is not null").withColumn("pre", F.col("offset")).select(*names))
-        waiting = joined.where("root is null").select("id", "parent", "size", "ptr", "offset", "hops", *(["path"] if with_path else []))
+        joined = stage.write(joined, "down")
+        placed.append(joined.where("r1 is not null").withColumnRenamed("offset", "pre").select(*names))
+        waiting = joined.where("r1 is null").select("i1", "i2", "size", "p1", "p2", "offset", "hops", *path)
         before, left = left, waiting.count()
         if left == before:  # the rest hangs on loops
             break
-    out = placed[0]
-    for more in placed[1:]:
-        out = out.unionByName(more)
     if left:
-        null = F.lit(None).cast("long")
-        out = out.unionByName(
-            waiting.select("id", "parent", null.alias("size"), F.lit("").alias("root"), F.lit(-1).alias("depth"), null.alias("pre"), *([F.lit(None).cast("array<string>").alias("path")] if with_path else []))
-        )
-    return out.select("id", "parent", "root", "depth", "pre", "size", *(["path"] if with_path else []))
+        placed.append(waiting.select("i1", "i2", null.alias("size"), null.alias("r1"), null.alias("r2"), F.lit(-1).alias("depth"), null.alias("pre"), *([F.lit(None).cast("array<string>").alias("path")] if with_path else [])))
+    return _all(placed)
 
 
 def descendants(sets_with_path: DataFrame) -> DataFrame:
@@ -142,10 +139,10 @@ def link_key(c: Column) -> Column:
 
 
 def run_links(runs: DataFrame) -> DataFrame:
-    """``id, parent, label_id`` of a run log; a run delivered again counts once, the latest
-    ``ended_at`` first (null is oldest), then the greatest parent."""
+    """``id, parent`` of a run log; a run delivered again counts once, the latest ``ended_at`` first (null
+    is oldest), then the greatest parent.  ``id`` is as given but for outer blanks and case."""
     one = runs.where("id is not null").groupBy("id").agg(F.max(F.struct(F.coalesce("ended_at", F.lit("")).alias("t"), F.coalesce("parent_run_id", F.lit("")).alias("p"))).alias("m"))
-    return one.select(link_key(F.col("id")).alias("id"), link_key(F.col("m.p")).alias("parent"), F.col("id").alias("label_id")).where("id is not null")
+    return one.select(link_key(F.col("id")).alias("id"), link_key(F.col("m.p")).alias("parent")).where("id is not null")
 
 
 WIDE_FACETS = 12
@@ -160,7 +157,7 @@ def facet_links(items: DataFrame, wide: int = WIDE_FACETS) -> DataFrame:
     identity are left out.  An item delivered again counts once.
 
     Sets of up to ``wide`` facets look their parent up among all their own subsets, an equi-join on
-    (family, subset): no pair of items of a family is ever formed.  Wider sets would have too many
+    (family, subset), by 128-bit fingerprints: no pair of items of a family is ever formed.  Wider sets would have too many
     subsets; they probe by single facets, each known set being posted under its rarest facet only,
     and the containment is tested.  Both ways are exact.
     """
@@ -173,20 +170,41 @@ def facet_links(items: DataFrame, wide: int = WIDE_FACETS) -> DataFrame:
         .select(F.col("item_id").cast("long").alias("item_id"), family.alias("family"), facets.alias("facets"))
         .groupBy("item_id").agg(F.min(F.struct("family", "facets")).alias("m")).select("item_id", "m.family", "m.facets")
     )
-    sets = own.groupBy("family", "facets").agg(F.min("item_id").alias("first_id"))
-    n = F.size("facets")
-    narrow = sets.where(n.between(1, wide))
-    masks = F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), n) - F.lit(2))
-    subset = F.filter("facets", lambda e, i: F.getbit(F.col("mask"), i) == 1)
-    probes = narrow.select("family", "facets", F.explode(masks).alias("mask")).select("family", "facets", subset.alias("inside"))
-    held = sets.select("family", F.col("facets").alias("inside"), F.col("first_id"))
-    best = F.max(F.struct(F.size("inside").alias("n"), (-F.col("first_id")).alias("neg"))).alias("b")
-    found = probes.join(held, ["family", "inside"]).groupBy("family", "facets").agg(best)
-    broad = sets.where(n > wide)
+    own = Stage(items.sparkSession, "facets").write(own.select("item_id", "family", "facets", F.xxhash64("family").alias("f"), *_set_fingerprint("facets")), "own")
+    sets = own.groupBy("f", "x1", "x2").agg(F.min("item_id").alias("first_id"))
+    narrow = own.where(F.size("facets").between(1, wide)).select("f", "x1", "x2", "facets").dropDuplicates(["f", "x1", "x2"])
+    both = F.arrays_zip(_subset_fingerprints("facets", 0).alias("a"), _subset_fingerprints("facets", 1).alias("b"), _subset_sizes("facets").alias("n"))
+    probes = narrow.select("f", "x1", "x2", F.size("facets").alias("all"), F.explode(both).alias("s")).where(F.col("s.n") < F.col("all"))
+    held = sets.select("f", F.col("x1").alias("a"), F.col("x2").alias("b"), "first_id")
+    best = F.max(F.struct("n", (-F.col("first_id")).alias("neg"))).alias("b")
+    found = probes.select("f", "x1", "x2", "s.a", "s.b", "s.n").join(held, ["f", "a", "b"]).groupBy("f", "x1", "x2").agg(best)
+    broad = own.where(F.size("facets") > wide)
     if not broad.isEmpty():
-        found = found.unionByName(_wide_parents(sets, broad, best))
-    found = found.select("family", "facets", (-F.col("b.neg")).alias("parent_id"))
-    return own.join(found, ["family", "facets"], "left").select(F.col("item_id").cast("string").alias("id"), F.col("parent_id").cast("string").alias("parent"))
+        lists = own.groupBy("family", "facets").agg(F.min("item_id").alias("first_id"))
+        longest = F.max(F.struct(F.size("inside").alias("n"), (-F.col("first_id")).alias("neg"))).alias("b")
+        wides = _wide_parents(lists, lists.where(F.size("facets") > wide), longest)
+        found = found.unionByName(wides.select(F.xxhash64("family").alias("f"), *_set_fingerprint("facets"), "b"))
+    found = found.select("f", "x1", "x2", (-F.col("b.neg")).alias("parent_id"))
+    return own.select("item_id", "f", "x1", "x2").join(found, ["f", "x1", "x2"], "left").select(F.col("item_id").cast("string").alias("id"), F.col("parent_id").cast("string").alias("parent"))
+
+
+def _facet_hash(e: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), e)
+
+
+def _set_fingerprint(facets: str) -> list[Column]:
+    """128 bits of a facet set: the exclusive or of its facets' hashes; 0 for the empty set."""
+    one = lambda seed: F.aggregate(facets, F.lit(0).cast("long"), lambda acc, e: acc.bitwiseXOR(_facet_hash(e, seed)))
+    return [one(0).alias("x1"), one(1).alias("x2")]
+
+
+def _subset_fingerprints(facets: str, seed: int) -> Column:
+    """Fingerprints of all subsets; each facet doubles the list."""
+    return F.aggregate(facets, F.array(F.lit(0).cast("long")), lambda acc, e: F.concat(acc, F.transform(acc, lambda x: x.bitwiseXOR(_facet_hash(e, seed)))))
+
+
+def _subset_sizes(facets: str) -> Column:
+    return F.aggregate(facets, F.array(F.lit(0)), lambda acc, e: F.concat(acc, F.transform(acc, lambda x: x + 1)))
 
 
 def _wide_parents(sets: DataFrame, broad: DataFrame, best: Column) -> DataFrame:
@@ -206,15 +224,9 @@ def _blank_free(c: Column) -> Column:
 def combined_forest(spark: SparkSession, runs: DataFrame, items: DataFrame, with_path: bool = False) -> DataFrame:
     """Run log and identity lattice as one forest: ``node_kind, node_id`` and the columns of
     :func:`nested_sets`, so both share every round."""
-    stage = Stage(spark, "forest")
-    r = run_links(runs)
-    runs_side = r.select(F.concat(F.lit("run:"), "id").alias("id"), F.concat(F.lit("run:"), "parent").alias("parent"), "label_id", F.lit("run").alias("node_kind"))
-    i = facet_links(items)
-    items_side = i.select(F.concat(F.lit("item:"), "id").alias("id"), F.concat(F.lit("item:"), "parent").alias("parent"), F.col("id").alias("label_id"), F.lit("item").alias("node_kind"))
-    links = stage.write(runs_side.unionByName(items_side), "links")
-    sets = nested_sets(links, with_path)
-    names = links.select("id", "label_id", "node_kind")
-    out = sets.join(names, "id")
-    roots = links.select(F.col("id").alias("root"), F.col("label_id").alias("root_label"))
-    out = out.join(roots, "root", "left").withColumn("root_id", F.coalesce("root_label", F.lit("")))
-    return out.withColumn("node_id", F.col("label_id"))
+    r, i = run_links(runs), facet_links(items)
+    runs_side = r.select(F.concat(F.lit("run:"), "id").alias("id"), F.concat(F.lit("run:"), "parent").alias("parent"))
+    items_side = i.select(F.concat(F.lit("item:"), "id").alias("id"), F.concat(F.lit("item:"), "parent").alias("parent"))
+    sets = nested_sets(runs_side.unionByName(items_side), with_path)
+    bare = lambda c: F.expr(f"substring({c}, instr({c}, ':') + 1)")
+    return sets.withColumn("node_kind", F.substring_index("id", ":", 1)).withColumn("node_id", bare("id")).withColumn("root_id", bare("root"))
