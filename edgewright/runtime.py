@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FALLBACK: dict[str, str] = {}
+_STAGED: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder for staged tables: ``spark.checkpoint.dir``, else a temporary one (local runs)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
     app = spark.sparkContext.applicationId
@@ -39,6 +40,7 @@ class Stage:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
+        _STAGED.add(self.root)
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -62,6 +64,15 @@ class Stage:
                 p.getFileSystem(conf).delete(p, True)
 
 
+def clear_staged(spark: SparkSession) -> None:
+    """Deletes all tables this process staged.  Results that still read them must be written first."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for root in sorted(_STAGED):
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(conf).delete(path, True)
+    _STAGED.clear()
+
+
 def small(df: DataFrame, most_rows: int) -> bool:
     """Whether ``df`` has at most ``most_rows`` rows; reads no more than that plus one.
 
