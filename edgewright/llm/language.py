@@ -195,10 +195,12 @@ class ByteNet:
             pos = at[w][:, :, None] + np.arange(w)
             ids = x[np.arange(n)[:, None, None], pos]
             patch = self.p["emb"][ids].reshape(n, FILTERS, w * DIM)
-            g[f"f{w}"] = np.einsum("nfk,nf->kf", patch, part)
+            g[f"f{w}"] = np.matmul(patch.transpose(1, 2, 0), part.T[:, :, None])[:, :, 0].T
             g[f"b{w}"] = part.sum(0)
-            back = part[:, :, None] * self.p[f"f{w}"].T[None]
-            np.add.at(g["emb"], ids.reshape(-1), back.reshape(-1, DIM))
+            back = (part[:, :, None] * self.p[f"f{w}"].T[None]).reshape(-1, DIM)
+            flat = ids.reshape(-1)
+            for k in range(DIM):
+                g["emb"][:, k] += np.bincount(flat, back[:, k], 256)
         return g
 
 
