@@ -3,9 +3,10 @@
 Method: Karmarkar-Karp multiway differencing.  Every item starts as a partial partition of its own;
 the two partial partitions with the largest differences are merged again and again, the fullest
 windows of one with the emptiest of the other, so that opposing imbalances cancel and the windows come
-out near-equal.  It starts from the least number of windows the sizes allow; where a window exceeds
-the capacity, items that fit elsewhere are moved there, and if some fit nowhere the window count rises
-and the differencing starts again.
+out near-equal.  It starts from the least number of windows the sizes allow.  Where a window exceeds
+the capacity, items move to windows with room, if need be in exchange for smaller ones; what finds no
+place raises the window count.  Then the unused space is driven into the last windows, which may empty
+them, and the next window count is tried as long as it can still be better.
 
 Items are spread over shards of some ``WINDOWS`` containers by a hash; a shard is packed in one task.
 The number of shards follows the total size, so the work per task doesn't grow with the data, and the
@@ -160,22 +161,42 @@ def tightened(sizes: Sequence[int], windows: list[list[int]], capacity: int) ->
     return [w for w in windows if w]
 
 
+def _first_fit(sizes: Sequence[int], capacity: int) -> list[list[int]]:
+    """Windows for the few items that found no place, the largest first."""
+    out: list[list[int]] = []
+    room: list[int] = []
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        at = next((n for n, r in enumerate(room) if r >= sizes[i]), None)
+        if at is None:
+            out.append([i])
+            room.append(capacity - sizes[i])
+        else:
+            out[at].append(i)
+            room[at] -= sizes[i]
+    return out
+
+
 def pack(sizes: Sequence[int], capacity: int) -> list[int]:
     """Window number of each item; every item must fit the capacity."""
     if not sizes:
         return []
-    k = least_windows(sizes, capacity)
-    while True:
+    least = k = least_windows(sizes, capacity)
+    best: list[list[int]] | None = None
+    while best is None or k < len(best):
         windows, left = repaired(sizes, difference(sizes, k), k, capacity)
-        if not left:
+        if left:  # the window count rises by what holds the rest
+            windows += [[left[i] for i in w] for w in _first_fit([sizes[i] for i in left], capacity)]
+        for _ in range(PASSES):
+            before, windows = len(windows), tightened(sizes, windows, capacity)
+            if len(windows) in (before, least):
+                break
+        if best is None or len(windows) < len(best):
+            best = windows
+        if len(best) == least or not left:
             break
         k += 1
-    for _ in range(PASSES):
-        before, windows = len(windows), tightened(sizes, windows, capacity)
-        if len(windows) in (before, least_windows(sizes, capacity)):
-            break
     where = [0] * len(sizes)
-    for n, w in enumerate(windows):
+    for n, w in enumerate(best):
         for i in w:
             where[i] = n
     return where
