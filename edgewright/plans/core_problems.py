@@ -48,14 +48,7 @@ links as (
   left join (select distinct lower(id) as id from runs) p on p.id = l.parent)
 """
 
-ORACLE = {
-    "p2_paths": "with recursive" + _RUN_LINKS + """,
-walk(id, path, depth) as (
-  select id, id, 0 from links where parent is null
-  union all
-  select l.id, w.path || '/' || l.id, w.depth + 1 from links l join walk w on l.parent = w.id)
-select l.id, w.path, coalesce(w.depth, -1)::int as depth from links l left join walk w on w.id = l.id""",
-    "p2_found": "with recursive" + _RUN_LINKS + r""",
+_ITEM_LINKS = r"""
 f0 as (select distinct item_id, lower(trim(coalesce(family, ''))) as family, identity from lattice_items where identity is not null and item_id is not null),
 f1 as (select item_id, family, unnest(identity) as e from f0),
 f2 as (select item_id, list_sort(list(distinct lower(trim(e.k)) || '=' || lower(regexp_replace(e.v, '^[\s]+|[\s]+$', '', 'g')))) as fs
@@ -63,7 +56,22 @@ f2 as (select item_id, list_sort(list(distinct lower(trim(e.k)) || '=' || lower(
 its as (select f0.item_id, family, coalesce(fs, []) as fs from f0 left join f2 using (item_id)),
 ipar as (select c.item_id, arg_min(p.item_id, (-len(p.fs)) * 1000000000 + p.item_id) as parent
          from its c join its p on c.family = p.family and len(p.fs) < len(c.fs) and list_has_all(c.fs, p.fs) group by c.item_id),
-al as (select 'run' as node_kind, id as node_id, parent from links
+"""
+
+ORACLE = {
+    "p2_descendants": "with recursive" + _ITEM_LINKS.rstrip().rstrip(",") + """,
+w(ancestor, descendant, distance) as (
+  select parent, item_id, 1 from ipar
+  union all
+  select p.parent, w.descendant, w.distance + 1 from w join ipar p on p.item_id = w.ancestor)
+select ancestor::varchar as ancestor, descendant::varchar as descendant, distance::int as distance from w""",
+    "p2_paths": "with recursive" + _RUN_LINKS + """,
+walk(id, path, depth) as (
+  select id, id, 0 from links where parent is null
+  union all
+  select l.id, w.path || '/' || l.id, w.depth + 1 from links l join walk w on l.parent = w.id)
+select l.id, w.path, coalesce(w.depth, -1)::int as depth from links l left join walk w on w.id = l.id""",
+    "p2_found": "with recursive" + _RUN_LINKS + "," + _ITEM_LINKS + r"""al as (select 'run' as node_kind, id as node_id, parent from links
        union all select 'item', item_id::varchar, parent::varchar from its left join ipar using (item_id)),
 walk(node_kind, node_id, root_id, depth) as (
   select node_kind, node_id, node_id, 0 from al where parent is null

@@ -128,6 +128,11 @@ _W = "case relation " + " ".join(f"when '{r}' then {w}" for r, w in graph.WEIGHT
 ORACLE = {
     "ancestors_bfs": f"""with recursive {EDGES}, hub as (select subject as seed from edges group by 1 order by count(*) desc, 1 limit 5), arc as (select distinct subject, object from edges where {_UP}),
 w(seed, node, depth) as (select seed, seed, 0 from hub union select w.seed, a.object, w.depth + 1 from w join arc a on a.subject = w.node where w.depth < 12) select seed, node, min(depth)::int as depth from w group by 1, 2""",
+    "connected_components": f"""with recursive {EDGES}, {ENDS}, ln as (select distinct a, b from (select subject as a, object as b from edges union all select object, subject from edges) where a <> b),
+cc(node, component) using key (node) as (select distinct node, node from ends union select l.a, min(c.component) from ln l join cc c on c.node = l.b join recurring.cc r on r.node = l.a where c.component < r.component group by l.a) select node, component from cc""",
+    "visible_graph": f"""with recursive {EDGES}, {ENDS}, ln as (select distinct a, b from (select subject as a, object as b from edges union all select object, subject from edges) where a <> b),
+cc(node, component) using key (node) as (select distinct node, node from ends union select l.a, min(c.component) from ln l join cc c on c.node = l.b join recurring.cc r on r.node = l.a where c.component < r.component group by l.a),
+main as (select component from cc group by 1 order by count(*) desc, 1 limit 1) select rel_id from edges where lower(dependency_kind) = 'direct' and subject in (select node from cc where component in (select component from main))""",
     "degree_prune": f"with {EDGES}, {ENDS}, k as (select node from ends group by 1 having count(*) >= 3) select rel_id, subject, object from edges where subject in (select node from k) and object in (select node from k)",
     "expansion_picks": f"with {EDGES}, x as (select subject as node from edges group by 1 order by count(*) desc, 1 limit 10) select object as node, count(*) as votes from edges where {_UP} and subject in (select node from x) and object not in (select node from x) group by 1 order by 2 desc, 1 limit 5",
     "hub_batches": f"with {EDGES}, h as (select subject from edges group by 1 order by count(*) desc, 1 limit 75), r as (select subject as hub, rel_id, row_number() over (partition by subject order by coalesce(len(anchor_list), 0) desc, rel_id) as r from edges where subject in (select subject from h)) select hub, rel_id, ((r - 1) // 40)::int as batch_no from r where r <= 200",

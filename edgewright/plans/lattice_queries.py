@@ -85,6 +85,9 @@ select min(i.item_id) as item_id, formal_name, url, arg_min_null(family, i.item_
 r as (select formal_name, k, v, row_number() over (partition by formal_name, k order by min(item_id), v) as r from e group by 1, 2, 3)
 select a.formal_name, a.k, b.v as first_value, a.v as other_value from r a join r b on a.formal_name = b.formal_name and a.k = b.k and b.r = 1 where a.r > 1""",
     "family_keys": f"with {ITEMS} select family, e.k as k, min(item_id) as first_item, count(*) as n from (select family, item_id, unnest(identity) as e from it) where e is not null group by 1, 2",
+    "expand_lattice": f"""with {ITEMS}, m as (select item_id, family, own, unnest(range(1, (1 << len(own)) - 1)) as mask from it where len(own) between 2 and 14),
+s as (select family, list_filter(own, lambda f, i: ((mask >> (i - 1)) & 1) = 1) as sub, item_id from m), g as (select family, sub, min(item_id) as from_item from s group by 1, 2)
+select family, array_to_string(sub, ', ') as facets, family || ' ' || array_to_string(list_transform(sub, lambda f: substring(f, instr(f, '=') + 1)), ' ') as label, from_item from g where not exists (select 1 from it where it.family = g.family and it.own = g.sub)""",
     "complete_roots": f"with {ITEMS} select family, family as formal_name, arg_min_null(kind, item_id) as kind, count(*) as n_items from it where family <> '' group by family having not bool_or(len(own) = 0)",
     "lattice_stats": f"""with {ITEMS} select count(*) as n_items, count(distinct family) as n_families, count(*) filter (where len(own) = 0) as n_roots, count(*) filter (where len(links) > 0) as n_linked,
 count(*) filter (where trim(description) <> '') as n_described, count(*) filter (where coalesce(len(aliases), 0) = 0) as n_without_alias, sum(coalesce(len(subsets), 0))::bigint as n_subsets from it""",
