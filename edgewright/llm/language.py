@@ -8,7 +8,8 @@ bounded sample, first as labelled, then without the sentences the first network
 
 The sentences of a text are decoded together: changing the language between neighbours costs a fixed
 amount of evidence, so a doubtful sentence goes with its neighbours, and runs of one language are the
-segments.
+segments.  An exact check follows the network: a language that isn't written in a sentence's script comes
+last for it.
 """
 
 from __future__ import annotations
@@ -277,6 +278,26 @@ def _evidence(net: ByteNet, texts: list[str]) -> np.ndarray:
     return np.add.reduceat(lp, ends[:-1]) * (np.minimum(n, 3) / n)[:, None]
 
 
+_KANA, _HAN, _CYRILLIC, _LATIN = (re.compile(c) for c in ("[\u3040-\u30ff]", "[\u3400-\u9fff]", "[\u0400-\u04ff]", "[A-Za-z\u00c0-\u024f]"))
+
+
+def script_check(w: str, lp: np.ndarray) -> np.ndarray:
+    """The network's evidence for ``w`` with languages that aren't written in its main script put last."""
+    kana, han, cyrillic, latin = (len(r.findall(w)) for r in (_KANA, _HAN, _CYRILLIC, _LATIN))
+    kana, han = 3 * kana, 3 * han  # such a letter says as much as some three of an alphabet
+    if kana and kana + han > latin:
+        fit = ("ja",)
+    elif han > latin:
+        fit = ("zh", "ja")
+    elif cyrillic > latin:
+        fit = ("ru",)
+    elif latin:
+        fit = tuple(c for c in CODES if c not in ("ru", "zh", "ja"))
+    else:
+        return lp
+    return np.where([c in fit for c in CODES], lp, np.minimum(lp, lp.min() - 1.0))
+
+
 class Labeller:
     """Segments of texts by one network; keeps the evidence of sentences it met, bounded."""
 
@@ -295,7 +316,7 @@ class Labeller:
             pairs = [(s, w) for s in new[i : i + 4096] if (w := words(s))]
             self.known.update(dict.fromkeys(new[i : i + 4096]))
             for (s, w), lp in zip(pairs, _evidence(self.net, [w for _, w in pairs])):
-                self.known[s] = lp * min(1.0, len(w) / 12 if w.isascii() else len(w) / 5)
+                self.known[s] = script_check(w, lp) * min(1.0, len(w) / 12 if w.isascii() else len(w) / 5)
 
     def label(self, texts: list[str | None]) -> list[list[tuple[str, float]]]:
         """(language, confidence) of each segment of each text; no segment if nothing has one.

@@ -43,3 +43,12 @@ def test_held_out_accuracy_and_segments(spark):
 def test_frame_edge_cases(spark):
     df = spark.createDataFrame([(1, None, "en"), (2, "", None), (3, "1 2 3", None), (None, "text", "en")], "doc_id long, text string, lang string").selectExpr("*", "1 as segment_no")
     assert L.segments(df).count() == 0 and L.found(df.limit(0)).count() == 0
+
+
+def test_script_check():
+    import numpy as np
+
+    even = np.zeros(len(L.CODES), np.float32)
+    best = lambda w: {c for c, v in zip(L.CODES, L.script_check(w, even)) if v == 0}
+    assert best("すべて Chat") == {"ja"} and best("这个模型") == {"zh", "ja"} and best("модель Chat") == {"ru"}
+    assert best("ein Modell") == set(L.CODES) - {"ru", "zh", "ja"} and best("...") == set(L.CODES)
