@@ -83,10 +83,23 @@ def audit_totals(spark, d):
     return evaluate.audit_totals(evaluate.verdicts_of(table(spark, d, "claim_clusters")))
 
 
-def resolve_topk(spark, d):
+def _ref_entries(spark, d):
     ref = table(spark, d, "ref_artifacts")
-    entries = ref.select(F.col("ref_id").alias("entry_id"), F.explode(F.concat(F.array("formal_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("surface"))
-    return evaluate.resolved(table(spark, d, "merge_relations").select(F.col("object").alias("mention")), entries)
+    return ref.select(F.col("ref_id").alias("entry_id"), F.explode(F.concat(F.array("formal_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("surface"))
+
+
+def _mentions(spark, d):
+    return table(spark, d, "merge_relations").select(F.col("object").alias("mention"))
+
+
+def resolve_topk(spark, d):
+    """Matches by equal form only; :func:`resolve_candidates` is the whole search."""
+    return evaluate.resolved(_mentions(spark, d), _ref_entries(spark, d))
+
+
+def resolve_candidates(spark, d):
+    """The three best candidates of every object from no score on: by form, by tokens in common, and as a subset."""
+    return evaluate.resolved_with_subsets(_mentions(spark, d), _ref_entries(spark, d), table(spark, d, "lattice_items"))
 
 
 def latest_runs(spark, d):
@@ -109,7 +122,7 @@ QUERIES = {
     "ancestors_bfs": ancestors_bfs, "connected_components": connected_components, "ego_expand": ego_expand, "degree_prune": degree_prune, "visible_graph": visible_graph,
     "expansion_picks": expansion_picks, "hub_batches": hub_batches, "guarded_union": guarded_union,
     "signature_buckets": _nodes(dedup.signature_buckets), "affix_match": _nodes(dedup.affix_pairs), "suffix_pairs": _nodes(dedup.suffix_pairs), "cross_org_names": _nodes(dedup.cross_org_names), "jaccard_candidates": _nodes(dedup.token_pairs),
-    "pool_clusters": pool_clusters, "system_precision": system_precision, "system_precision_by_target": system_precision_by_target, "pending_work": pending_work, "audit_totals": audit_totals, "resolve_topk": resolve_topk,
+    "pool_clusters": pool_clusters, "system_precision": system_precision, "system_precision_by_target": system_precision_by_target, "pending_work": pending_work, "audit_totals": audit_totals, "resolve_topk": resolve_topk, "resolve_candidates": resolve_candidates,
     "source_ledger": _table(ledger.url_ledger, "sources"), "content_ledger": _table(ledger.content_ledger, "sources"), "batch_fingerprint": _table(ledger.batch_fingerprints, "sources"), "names_packet": _table(ledger.names_packet, "merge_relations"),
     "latest_runs": latest_runs, "run_counters": _table(ledger.run_counters, "runs"), "lattice_search": lattice_search, "table_counts": table_counts,
 }
