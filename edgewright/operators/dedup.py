@@ -17,17 +17,51 @@ def node_table(e: DataFrame) -> DataFrame:
     return e.select(F.explode(F.array("subject", "object")).alias("name")).groupBy("name").agg(F.count("*").alias("degree"))
 
 
+_WIKI = r"(?U)^(.+?)\s*\[([^\]]+)\]\s*$"
+_TAIL = r"(?U)\s+\d+(?:\.\d+)?\s*$"
+
+
+def _attributes(inside: Column) -> Column:
+    """The ``k=v`` pieces of a bracket, ends blank-free."""
+    pieces = F.filter(F.split(inside, ","), lambda p: p.contains("="))
+    return F.transform(pieces, lambda p: F.struct(names.strip(F.substring_index(p, "=", 1)).alias("k"), names.strip(F.substring(p, F.instr(p, "=") + 1, F.length(p))).alias("v")))
+
+
+def _unbracketed(n: Column) -> Column:
+    """``Family 3 [size=7B, stage=Base, version=3.1]`` as ``Family-3.1-7B-Base``; other names as they are."""
+    family, found = F.regexp_extract(n, _WIKI, 1), _attributes(F.regexp_extract(n, _WIKI, 2))
+    value = lambda k: F.coalesce(F.try_element_at(F.filter(found, lambda a: a["k"] == k), F.lit(-1))["v"], F.lit(""))
+    named = F.when((value("version") != "") & family.rlike(_TAIL), F.concat(F.regexp_replace(family, _TAIL, ""), F.lit(" "), value("version"))).otherwise(family)
+    more = F.filter(F.array(*(value(k) for k in ("size", "variant", "stage", "track"))), lambda v: v != "")
+    return F.when(n.rlike(_WIKI), F.replace(F.array_join(F.concat(F.array(names.strip(named)), more), "-"), F.lit(" "), F.lit("-"))).otherwise(n)
+
+
 def signature_columns(n: Column) -> dict[str, Column]:
-    """The parts of a name's signature; all comparable, arrays sorted."""
-    base = names.bare(n)
-    text = F.lower(F.regexp_replace(F.regexp_replace(base, r"\s*\([^)]*\)\s*", ""), r"\s*\[[^\]]*\]\s*", ""))
+    """The parts of a name's signature; all comparable, arrays sorted and joined."""
+    core = names.strip(F.regexp_replace(F.regexp_replace(_unbracketed(n), r"(?U)\s*\([^)]*\)\s*", ""), r"(?U)\s*\[[^\]]*\]\s*", ""))
+    norm = F.regexp_replace(F.regexp_replace(F.regexp_replace(names.strip(F.lower(names.bare(core))), r"(?U)[\s_]+", "-"), "-+", "-"), "^-+|-+$", "")
+    paren = F.lower(names.strip(F.regexp_extract(n, r"(?U)\(([^)]+)\)\s*$", 1)))
+    alias = paren.contains("/") & ~paren.rlike("split|subset|variant|ablation|config|version|diamond")
+    attributes = F.transform(_attributes(F.lower(F.regexp_extract(n, r"\[([^\]]+)\]", 1))), lambda a: F.when(~a["k"].isin("size", "version", "stage", "track"), F.concat(a["k"], F.lit("="), a["v"])))
+    days = F.filter(names.dates(n), lambda d: d.cast("int").between(1001, 2029))
     return {
-        "org": names.org(n), "bare_norm": F.regexp_replace(F.regexp_replace(text, r"[_\s]+", "-"), "-+", "-"), "bare_collapsed": names.lex_collapse(text),
-        "versions": F.array_join(names.versions(base), ","), "sizes": F.array_join(names.sizes(base), ","), "stages": F.array_join(names.stage_substrings(base), ","),
-        "paren": F.lower(F.trim(F.regexp_extract(n, r"\(([^)]*)\)", 1))), "bracket": F.lower(F.trim(F.regexp_extract(n, r"\[([^\]]*)\]", 1))),
+        "org": names.org(core), "bare_norm": norm, "bare_collapsed": F.regexp_replace(norm, "[-.]", ""),
+        "versions": F.array_join(names.versions(n), ","), "sizes": F.array_join(names.sizes(n), ","), "stages": F.array_join(names.stage_substrings(n), ","),
+        "dates": F.array_join(F.array_except(days, F.concat(names.versions(n), names.sizes(n))), ","),
+        "paren": F.when(n.rlike(r"(?U)\([^)]+\)\s*$") & ~alias, F.concat(F.lit("("), paren)).otherwise(""), "bracket": F.array_join(F.array_sort(F.array_distinct(attributes)), ","),
     }
 
 
+def can_merge(a: str, b: str) -> Column:
+    """Whether the signatures in the struct columns ``a`` and ``b`` agree: equal collapsed names, parentheses and bracket,
+    and no organisation, version, size, stage or date given on both sides that differs."""
+    x, y = (lambda k: F.col(f"{a}.{k}")), (lambda k: F.col(f"{b}.{k}"))
+    out = (x("bare_collapsed") == y("bare_collapsed")) & (x("paren") == y("paren")) & (x("bracket") == y("bracket"))
+    for k in ("org", "versions", "sizes", "stages", "dates"):
+        out = out & ((x(k) == "") | (y(k) == "") | (x(k) == y(k)))
+    return out
+
+
 def signature_buckets(nodes: DataFrame) -> DataFrame:
     """``canonical, members, degree`` of names with one exact signature, names that name no artifact left
     out; canonical: with an organisation first, then by degree, length and name."""

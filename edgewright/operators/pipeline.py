@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from edgewright.functions import names
 from edgewright.operators import dedup, edges, lattice
+from edgewright.runtime import Stage
 
 
 def reconciled(e: DataFrame, items: DataFrame) -> DataFrame:
@@ -21,18 +22,33 @@ def reconciled(e: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def canonical_map(nodes: DataFrame) -> DataFrame:
-    """``name, canonical`` by exact signature; names that name no artifact map to null."""
-    sig = nodes.select("name", "degree", names.categorical_drop(F.col("name")).alias("dropped"), *(c.alias(k) for k, c in dedup.signature_columns(F.col("name")).items()))
+    """``name, canonical`` by signature; names that name no artifact map to null.
+
+    Names of one exact signature are a cluster.  A cluster without organisation joins, of those with one
+    it can merge with, the one of greatest degree (ties: the smallest least name).
+    """
+    stage = Stage(nodes.sparkSession, "names")
     keys = list(dedup.signature_columns(F.col("name")))
-    best = F.max_by("name", F.struct((F.col("org") != "").alias("p"), "degree", F.length("name").alias("l"), "name"))
-    groups = sig.where("not dropped").groupBy(*keys).agg(best.alias("canonical"))
-    named = sig.where("not dropped").join(groups, keys).select("name", "canonical")
+    sig = nodes.select("name", "degree", names.categorical_drop(F.col("name")).alias("dropped"), *(c.alias(k) for k, c in dedup.signature_columns(F.col("name")).items()))
+    sig = stage.write(sig, "signatures")
+    kept = sig.where("not dropped").select("name", "degree", F.struct(*keys).alias("sig"))
+    clusters = stage.write(kept.groupBy("sig").agg(F.sum("degree").alias("degree"), F.min("name").alias("least")), "clusters")
+    bare = clusters.where("sig.org = ''").select(F.col("sig").alias("a"), F.col("sig.bare_collapsed").alias("form"))
+    full = clusters.where("sig.org <> ''").select(F.col("sig").alias("b"), F.col("sig.bare_collapsed").alias("form"), "degree", "least")
+    target = F.min_by("b", F.struct((-F.col("degree")).alias("d"), "least")).alias("target")
+    folded = bare.join(full, "form").where(dedup.can_merge("a", "b")).groupBy(F.col("a").alias("sig")).agg(target)
+    placed = stage.write(kept.join(folded, "sig", "left").select("name", "degree", F.xxhash64(F.coalesce("target", "sig")).alias("c1"), F.xxhash64(F.lit("sig"), F.coalesce("target", "sig")).alias("c2")), "placed")
+    prefixed = F.col("name").contains("/") & ~F.col("name").startswith("/")
+    best = F.max_by("name", F.struct(prefixed.alias("p"), "degree", F.length("name").alias("l"), "name"))
+    named = placed.join(placed.groupBy("c1", "c2").agg(best.alias("canonical")), ["c1", "c2"]).select("name", "canonical")
     return named.unionByName(sig.where("dropped").select("name", F.lit(None).cast("string").alias("canonical")))
 
 
 def heuristic_dedup(e: DataFrame, least_degree: int = 3) -> DataFrame:
     """Edges over canonical names, without concept-like names of fewer than ``least_degree`` edges."""
-    new = edges.rewritten(e, canonical_map(dedup.node_table(e)))
+    stage = Stage(e.sparkSession, "dedup")
+    canon = stage.write(canonical_map(dedup.node_table(e)), "canon")
+    new = stage.write(edges.rewritten(e, canon).select("first_id", "subject", "relation", "object", "merged"), "edges")
     deg = new.select(F.explode(F.array("subject", "object")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
     concept = (F.col("node") != "") & ~F.col("node").rlike(r"[/\[(]") & (F.length("node") < 30) & F.col("node").rlike(r"^[A-Za-z][A-Za-z0-9\-\s_.]*$")
     low = deg.where(concept & (F.col("degree") < least_degree)).select("node")
