@@ -30,17 +30,17 @@ def unicode_alnum(c: Column) -> Column:
 
 
 def canonical_name(c: Column) -> Column:
-    """Trimmed, lower; the organisation before the first ``/`` stays as it is, the rest has runs of
+    """Without blanks of any script at its ends, lower; the organisation before the first ``/`` stays as it is, the rest has runs of
     other characters as one ``-``, none at its ends."""
-    s = F.lower(F.trim(c))
+    s = F.lower(strip(c))
     dashed = lambda x: F.regexp_replace(F.regexp_replace(x, "[^a-z0-9]+", "-"), "^-+|-+$", "")
     rest = F.substring(s, F.instr(s, "/") + 1, F.length(s))
     return F.when(s.contains("/"), F.concat(F.substring_index(s, "/", 1), F.lit("/"), dashed(rest))).otherwise(dashed(s))
 
 
 def slug(c: Column) -> Column:
-    """Lower, blanks and ``_`` as ``-``, only ``a-z 0-9 - + .``, dashes squeezed and trimmed."""
-    s = F.regexp_replace(F.lower(F.trim(c)), r"[\s_]+", "-")
+    """Lower, blanks of any script and ``_`` as ``-``, only ``a-z 0-9 - + .``, dashes squeezed and trimmed."""
+    s = F.regexp_replace(F.lower(F.trim(c)), r"(?U)[\s_]+", "-")
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"[^a-z0-9\-+.]", ""), "-{2,}", "-"), "^-+|-+$", "")
 
 

@@ -30,11 +30,23 @@ def rewire_dropped(spark: SparkSession, d: str) -> DataFrame:
     return E.rewired(e, drop)
 
 
-def name_forms(spark: SparkSession, d: str) -> DataFrame:
-    """All normal forms of every distinct endpoint of ASCII."""
-    ends = table(spark, d, "merge_relations").select(F.explode(F.array("subject", "object")).alias("name")).where("name <> ''").distinct()
+def _forms(ends: DataFrame) -> DataFrame:
     n = F.col("name")
-    return ends.where(~n.rlike("[^\\x20-\\x7E]")).select("name", names.lex_collapse(n).alias("lex"), names.lex_norm(n).alias("norm"), names.alnum_form(n).alias("alnum"), names.canonical_name(n).alias("canonical"), names.slug(n).alias("slug"), names.org(n).alias("org"), names.bare(n).alias("bare"), names.file_slug(n).alias("file_slug"))
+    return ends.select("name", names.lex_collapse(n).alias("lex"), names.lex_norm(n).alias("norm"), names.alnum_form(n).alias("alnum"), names.canonical_name(n).alias("canonical"), names.slug(n).alias("slug"), names.org(n).alias("org"), names.bare(n).alias("bare"), names.file_slug(n).alias("file_slug"))
+
+
+def _ends(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "merge_relations").select(F.explode(F.array("subject", "object")).alias("name")).where("name <> ''").distinct()
+
+
+def name_forms(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of :func:`all_name_forms` of printable ASCII, on which DuckDB agrees."""
+    return _forms(_ends(spark, d).where(~F.col("name").rlike("[^\\x20-\\x7E]")))
+
+
+def all_name_forms(spark: SparkSession, d: str) -> DataFrame:
+    """All normal forms of every distinct endpoint."""
+    return _forms(_ends(spark, d))
 
 
 QUERIES = {
@@ -55,6 +67,7 @@ QUERIES = {
     "edge_rewrite": edge_rewrite,
     "rewire_dropped": rewire_dropped,
     "name_forms": name_forms,
+    "all_name_forms": all_name_forms,
 }
 
 EDGES = """edges as (select distinct on (rel_id) rel_id, load_no, subject, relation, dependency_kind, object, description,
