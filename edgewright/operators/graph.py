@@ -127,10 +127,16 @@ def expansion_picks(e: DataFrame, expanded: DataFrame, strategy: str, top: int)
     return votes.orderBy(F.desc("votes"), "node").limit(1 if strategy == "dfs" else top)
 
 
-def ranked_hub_edges(e: DataFrame, hubs: DataFrame, cap: int = 200, batch: int = 40) -> DataFrame:
-    """``hub, rel_id, batch_no``: each hub's edges by anchors (most first), then ordinal, up to ``cap``, in
-    batches."""
+def ranked_hub_edges(e: DataFrame, hubs: DataFrame, cap: int = 200, batch: int = 40, side: str = "subject") -> DataFrame:
+    """``hub, rel_id, batch_no``: the edges with a hub as ``side``, by anchors (most first), then ordinal, up to
+    ``cap`` a hub, in batches."""
     n = F.coalesce(F.size("anchor_list"), F.lit(0))
-    own = e.join(F.broadcast(hubs.select(F.col("node").alias("subject"))), "subject").select(F.col("subject").alias("hub"), "rel_id", n.alias("n"))
+    own = e.join(F.broadcast(hubs.select(F.col("node").alias(side))), side).select(F.col(side).alias("hub"), "rel_id", n.alias("n"))
     rank = F.row_number().over(Window.partitionBy("hub").orderBy(F.desc("n"), "rel_id"))
     return own.withColumn("r", rank).where(F.col("r") <= cap).select("hub", "rel_id", F.floor((F.col("r") - 1) / batch).cast("int").alias("batch_no"))
+
+
+def audit_batches(e: DataFrame, out_hubs: DataFrame, in_hubs: DataFrame) -> DataFrame:
+    """``hub, role, rel_id, batch_no``: batches of the hubs as subject and as object; a hub of both has both."""
+    sides = [ranked_hub_edges(e, hubs, side=role).select("hub", F.lit(role).alias("role"), "rel_id", "batch_no") for role, hubs in (("subject", out_hubs), ("object", in_hubs))]
+    return sides[0].unionByName(sides[1])

@@ -51,6 +51,12 @@ def hub_batches(spark, d):
     return graph.ranked_hub_edges(e, edges.hubs(e, "subject", 75))
 
 
+def hub_audit_batches(spark, d):
+    """Batches of the 75 out-hubs and the 30 in-hubs; :func:`hub_batches` is the side of the former."""
+    e = _edges(spark, d)
+    return graph.audit_batches(e, edges.hubs(e, "subject", 75), edges.hubs(e, "object", 30))
+
+
 def guarded_union(spark, d):
     """Unions of names that are beginnings or ends of each other unless sizes, versions or dates conflict."""
     nodes = dedup.node_table(_edges(spark, d))
@@ -120,7 +126,7 @@ def _table(f, name):
 
 QUERIES = {
     "ancestors_bfs": ancestors_bfs, "connected_components": connected_components, "ego_expand": ego_expand, "degree_prune": degree_prune, "visible_graph": visible_graph,
-    "expansion_picks": expansion_picks, "hub_batches": hub_batches, "guarded_union": guarded_union,
+    "expansion_picks": expansion_picks, "hub_batches": hub_batches, "hub_audit_batches": hub_audit_batches, "guarded_union": guarded_union,
     "signature_buckets": _nodes(dedup.signature_buckets), "affix_match": _nodes(dedup.affix_pairs), "suffix_pairs": _nodes(dedup.suffix_pairs), "cross_org_names": _nodes(dedup.cross_org_names), "jaccard_candidates": _nodes(dedup.token_pairs),
     "pool_clusters": pool_clusters, "system_precision": system_precision, "system_precision_by_target": system_precision_by_target, "pending_work": pending_work, "audit_totals": audit_totals, "resolve_topk": resolve_topk, "resolve_candidates": resolve_candidates,
     "source_ledger": _table(ledger.url_ledger, "sources"), "content_ledger": _table(ledger.content_ledger, "sources"), "batch_fingerprint": _table(ledger.batch_fingerprints, "sources"), "names_packet": _table(ledger.names_packet, "merge_relations"),
