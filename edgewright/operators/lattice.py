@@ -31,14 +31,32 @@ def _subsets(df: DataFrame, facets: str, strict: bool, least: int = 0) -> DataFr
     return masks.withColumn("subset", F.filter(facets, lambda e, i: F.getbit(F.col("mask"), i) == 1)).drop("mask")
 
 
+def _contained(sets: DataFrame, wide: DataFrame, by: list[str]) -> DataFrame:
+    """Columns of ``wide`` with those of ``sets`` (``subset`` and more) whose ``subset`` lies properly within ``own``, both of one ``by``.
+
+    Each set is posted under its rarest facet and met by the facets of the wide ones; the empty set is met as such.
+    """
+    single = sets.select(*by, "subset", F.explode("subset").alias("facet"))
+    often = single.groupBy(*by, "facet").agg(F.count("*").alias("often"))
+    rarest = single.join(often, [*by, "facet"]).groupBy(*by, "subset").agg(F.min_by("facet", F.struct("often", "facet")).alias("facet"))
+    posted = sets.join(rarest, [*by, "subset"])
+    met = wide.withColumn("facet", F.explode("own")).join(posted, [*by, "facet"]).where((F.size("subset") < F.size("own")) & (F.size(F.array_except("subset", "own")) == 0)).drop("facet")
+    return met.unionByName(wide.join(sets.where(F.size("subset") == 0), by))
+
+
 def subsumed_pairs(items: DataFrame) -> DataFrame:
     """``family, parent_id, child_id``: all facets of the parent are the child's, and not all the other
-    way.  A set meets its subsets by equality, so only true pairs are ever formed."""
-    it = items.select("item_id", "family", own_facets().alias("own")).where(F.size("own") <= MOST_FACETS)
+    way.  A set of up to ``MOST_FACETS`` meets its subsets by equality, so only true pairs are ever formed;
+    wider ones meet the sets of each of their facets, and the containment is tested."""
+    it = items.select("item_id", "family", own_facets().alias("own"))
     sets = it.groupBy("family", "own").agg(F.collect_list("item_id").alias("ids"))
-    probe = _subsets(sets.withColumnRenamed("ids", "child_ids"), "own", strict=True).where("size(own) > 0")
+    children = sets.withColumnRenamed("ids", "child_ids")
+    probe = _subsets(children.where(F.size("own").between(1, MOST_FACETS)), "own", strict=True)
     held = sets.select("family", F.col("own").alias("subset"), F.col("ids").alias("parent_ids"))
     met = probe.join(held, ["family", "subset"])
+    wide = children.where(F.size("own") > MOST_FACETS)
+    if not wide.isEmpty():
+        met = met.unionByName(_contained(held, wide, ["family"]))
     return met.select("family", F.explode("parent_ids").alias("parent_id"), "child_ids").select("family", "parent_id", F.explode("child_ids").alias("child_id"))
 
 
@@ -77,8 +95,11 @@ def family_keys(lattice: DataFrame) -> DataFrame:
 
 def expanded(items: DataFrame, most_facets: int = MOST_FACETS) -> DataFrame:
     """Concepts between root and items: every facet subset of 1 to N-1 own facets that no item of the
-    family has, once, with its label and the first item that yields it."""
-    it = items.select("item_id", "family", own_facets().alias("own")).where(F.size("own").between(2, most_facets))
+    family has, once, with its label and the first item that yields it.  An item of more than ``most_facets``
+    has too many and is an error."""
+    wide = F.raise_error(F.concat(F.lit(f"more than {most_facets} facets to expand: item "), F.col("item_id").cast("string")))
+    own = F.when(F.size(own_facets()) > most_facets, wide.cast("array<string>")).otherwise(own_facets())
+    it = items.select("item_id", "family", own.alias("own")).where(F.size("own") >= 2)
     made = _subsets(it, "own", strict=True, least=1)
     new = made.groupBy("family", "subset").agg(F.min("item_id").alias("from_item"))
     known = items.select("family", own_facets().alias("subset")).distinct()
@@ -144,14 +165,20 @@ def edge_subsumption(edges: DataFrame) -> DataFrame:
     """``general_id, specific_id`` between classes of edges with equal identities: same relation and kind,
     the general one's facets within the specific one's at both ends, not both equal.
 
-    Each class meets the generalisations of its own facets by equality.
+    Each class of up to ``MOST_FACETS`` meets the generalisations of its own facets by equality, wider ones
+    meet the classes of each of their facets.
     """
     c = _classes(edges)
     drop = lambda a: F.filter(a, lambda f: ~f.startswith("family="))
     both = c.withColumn("own", F.array_sort(F.concat(F.transform(drop("s_facets"), lambda f: F.concat(F.lit("s:"), f)), F.transform(drop("o_facets"), lambda f: F.concat(F.lit("o:"), f)))))
     probe = _subsets(both.where(F.size("own").between(1, MOST_FACETS)), "own", strict=True)
-    held = both.select("relation", "kind", "s_family", "o_family", F.col("own").alias("subset"), F.col("first_id").alias("general_id"))
-    return probe.join(held, ["relation", "kind", "s_family", "o_family", "subset"]).select("general_id", F.col("first_id").alias("specific_id"))
+    keys = ["relation", "kind", "s_family", "o_family"]
+    held = both.select(*keys, F.col("own").alias("subset"), F.col("first_id").alias("general_id"))
+    pairs = probe.join(held, [*keys, "subset"]).select("general_id", F.col("first_id").alias("specific_id"))
+    wide = both.where(F.size("own") > MOST_FACETS).select(*keys, "own", "first_id")
+    if not wide.isEmpty():
+        pairs = pairs.unionByName(_contained(held, wide, keys).select("general_id", F.col("first_id").alias("specific_id")))
+    return pairs
 
 
 def sibling_conflicts(edges: DataFrame) -> DataFrame:
