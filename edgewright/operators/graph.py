@@ -6,6 +6,8 @@ more than one round.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,19 +21,21 @@ WEIGHTS = {
 }
 
 
-def ancestors(e: DataFrame, seeds: DataFrame, max_depth: int = 50) -> DataFrame:
+def ancestors(e: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``seed, node, depth``: everything each of ``seeds(seed)`` reaches along upstream relations, the seed
-    itself at depth 0.  A seed that is no node gives only itself; cycles end by the nodes seen."""
+    itself at depth 0.  A seed that is no node gives only itself; cycles end by the nodes seen.
+    With ``max_depth``, nodes farther away are an error."""
     stage = Stage(e.sparkSession, "ancestors")
     arcs = stage.write(e.where(F.col("relation").isin(*UPSTREAM)).select("subject", "object").distinct(), "arcs")
     seen = front = stage.write(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")).where("seed is not null").distinct(), "front")
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         step = front.join(arcs, front.node == arcs.subject).select("seed", F.col("object").alias("node")).distinct()
         front = stage.write(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)), "front")
         if front.isEmpty():
-            break
+            return seen
+        if max_depth is not None and depth > max_depth:
+            raise ValueError(f"ancestors farther than {max_depth} edges")
         seen = seen.unionByName(front)
-    return seen
 
 
 def components(e: DataFrame) -> DataFrame:
