@@ -20,26 +20,26 @@ def p2_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = hierarchy.nested_sets(hierarchy.run_links(table(spark, sf_dir, "runs")), with_path=True)
+    sets = hierarchy.paths(hierarchy.nested_sets(hierarchy.run_links(table(spark, sf_dir, "runs"))))
     return sets.select("id", F.array_join("path", "/").alias("path"), "depth")
 
 
 def p2_node_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Path, depth and root of every run and item; :func:`p2_paths` is the side of the runs."""
-    forest = hierarchy.combined_forest(spark, table(spark, sf_dir, "runs"), table(spark, sf_dir, "lattice_items"), with_path=True)
+    forest = hierarchy.paths(hierarchy.combined_forest(spark, table(spark, sf_dir, "runs"), table(spark, sf_dir, "lattice_items")))
     bare = F.transform("path", lambda x: F.substring(x, F.instr(x, ":") + 1, F.length(x)))
     return forest.select("node_kind", "node_id", F.array_join(bare, "/").alias("path"), "depth", "root_id")
 
 
 def p2_node_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Descendants of every run and item; :func:`p2_descendants` is the side of the items."""
-    forest = hierarchy.combined_forest(spark, table(spark, sf_dir, "runs"), table(spark, sf_dir, "lattice_items"), with_path=True)
+    forest = hierarchy.combined_forest(spark, table(spark, sf_dir, "runs"), table(spark, sf_dir, "lattice_items"))
     bare = lambda c: F.expr(f"substring({c}, instr({c}, ':') + 1)").alias(c)
     return hierarchy.descendants(forest).select(F.substring_index("ancestor", ":", 1).alias("node_kind"), bare("ancestor"), bare("descendant"), "distance")
 
 
 def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.descendants(hierarchy.nested_sets(hierarchy.facet_links(table(spark, sf_dir, "lattice_items")), with_path=True))
+    return hierarchy.descendants(hierarchy.nested_sets(hierarchy.facet_links(table(spark, sf_dir, "lattice_items"))))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 from edgewright.operators import hierarchy as H
+from pyspark.sql import functions as F
 
 
 def brute(links):
@@ -22,9 +23,9 @@ def brute(links):
     return out, size, parent
 
 
-def check(spark, links):
+def check(spark, links, wide=5):
     df = spark.createDataFrame(links, "id string, parent string").selectExpr("*", "1 as root", "'x' as depth")
-    rows = {r.id: r for r in H.nested_sets(df, with_path=True, sibling_buckets=4).collect()}
+    rows = {r.id: r for r in H.paths(H.nested_sets(df, wide_parent=wide)).collect()}
     want, size, parent = brute(links)
     assert {i: (r.root, r.depth) for i, r in rows.items()} == want
     by_root = {}
@@ -53,6 +54,21 @@ def test_deep_chain_and_star(spark):
     check(spark, [(f"d{i}", f"d{i - 1}" if i else None) for i in range(70)] + [(f"s{i}", "d3") for i in range(40)])
 
 
+def test_hot_parent_and_root(spark):
+    """One parent with most rows, and chains of one root that share pointers in every round."""
+    links = [("r", None), ("h", "r")] + [(f"k{i}", "h") for i in range(1500)] + [(f"g{i}", f"k{i}") for i in range(1200)] + [(f"f{i}", f"g{i}") for i in range(1100)] + [("x", "y"), ("y", "x")]
+    check(spark, links, wide=100)
+
+
+def test_blocks_cover_every_range(spark):
+    rng = random.Random(2)
+    spans = [(a, a + rng.choice((1, 2, 17, 300, 5000, 70000))) for a in (rng.randrange(100_000) for _ in range(60))]
+    df = spark.createDataFrame(spans, "lo long, hi long").select("lo", "hi", H._blocks(F.col("lo"), F.col("hi")).alias("b"))
+    for r in df.collect():
+        cut = sorted((b.no << b.bits, (b.no + 1) << b.bits) for b in r.b)
+        assert cut[0][0] == r.lo and cut[-1][1] == r.hi and all(x[1] == y[0] for x, y in zip(cut, cut[1:]))
+
+
 def test_empty_and_single(spark):
     check(spark, [])
     check(spark, [("only", None)])
@@ -61,7 +77,7 @@ def test_empty_and_single(spark):
 
 def test_descendants(spark):
     df = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "x")], "id string, parent string")
-    got = {tuple(r) for r in H.descendants(H.nested_sets(df, with_path=True)).collect()}
+    got = {tuple(r) for r in H.descendants(H.nested_sets(df)).collect()}
     assert got == {("a", "b", 1), ("b", "c", 1), ("a", "c", 2)}
 
 
