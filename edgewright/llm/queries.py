@@ -25,12 +25,16 @@ def p5_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.collapsed(table(spark, sf_dir, "merge_relations"))
 
 
+def _survivor_tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    return [table(spark, sf_dir, t) for t in ("merge_relations", "claim_clusters", "eval_systems", "ref_relations")]
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return survivors.found(table(spark, sf_dir, "merge_relations"), table(spark, sf_dir, "claim_clusters"), table(spark, sf_dir, "eval_systems"))
+    return survivors.found(*_survivor_tables(spark, sf_dir))
 
 
 def p6_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return survivors.survivors(table(spark, sf_dir, "merge_relations"), table(spark, sf_dir, "ref_relations"))
+    return survivors.survivors(*_survivor_tables(spark, sf_dir))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

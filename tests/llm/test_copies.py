@@ -64,20 +64,58 @@ def test_trie():
 A = "array<struct<source:string,position:string,excerpt:string,explanation:string>>"
 
 
+REC = f"rel_id string, subject string, relation string, object string, description string, anchor_list {A}, recorded_at string, dependency_kind string, origin string"
+CLUSTERS = f"cluster_id string, members array<struct<member_no:int,system:string,subject:string,relation:string,object:string,description:string,anchor_list:{A},recorded_at:timestamp>>"
+LABELS = "label string, dependency_kind string"
+
+
 def test_survivors_ties_and_stand_ins(spark):
     good, part = ("s", None, None, "e"), ("s", None, None, " ")
     rows = [
         ("r1", "a", "x", "y", "N/A", [good, good, None], None, "direct", "pipeline"), ("r2", "A", "x", "Y", "two  words", None, None, None, "pipeline"), ("r3", "a.", "x", "y", "two words", [part], "2025-01-01 00:00:00", "direct", "pipeline"),
-        ("s1", "b", "x", "y", "Description will be added once somebody has time for it.", [], None, "direct", "pipeline"), ("r2", "A", "x", "Y", "two  words", None, None, None, "pipeline"),
+        ("s1", "b", "x", "y", "A single edge is no group.", [], None, "direct", "pipeline"), ("t1", "c", "x", "y", "Description will be added once somebody has time for it.", [], None, "direct", "pipeline"), ("t2", "C", "x", "y", None, None, None, None, None),
+        ("r2", "A", "x", "Y", "two  words", None, None, None, "pipeline"), ("s1", "b", "x", "y", "A single edge is no group.", [], None, "direct", "pipeline"),
     ]
-    rel = spark.createDataFrame(rows, f"rel_id string, subject string, relation string, object string, description string, anchor_list {A}, recorded_at string, dependency_kind string, origin string").withColumn("recorded_at", F.to_timestamp("recorded_at"))
-    clusters = spark.createDataFrame([("k1", [(1, "low", "same", [good], None), (2, "high", "same", [good], None), (3, None, "same", [good], None)]), ("k2", None), ("k3", [])], f"cluster_id string, members array<struct<member_no:int,system:string,description:string,anchor_list:{A},recorded_at:timestamp>>")
+    rel = spark.createDataFrame(rows, REC).withColumn("recorded_at", F.to_timestamp("recorded_at")).selectExpr("*", "1 as h1", "'x' as key", "2 as d_len")
+    member = lambda no, system: (no, system, "S", "x", "O", "same", [good], None)
+    clusters = spark.createDataFrame([("k1", [member(1, "low"), member(2, "high"), member(3, None)]), ("k2", None), ("k3", []), (None, [])], CLUSTERS)
     systems = spark.createDataFrame([("low", 1), ("high", 9)], "system string, trust int")
-    got = {tuple(r) for r in survivors.found(rel, clusters, systems).collect()}
-    assert got == {("relation", "r1", "r3", "r1"), ("relation", "s1", "", ""), ("cluster", "k1", "2", "2"), ("cluster", "k2", "", ""), ("cluster", "k3", "", "")}
-    labels = spark.createDataFrame([("x", "indirect")], "label string, dependency_kind string")
-    full = {r.group_key: r for r in survivors.survivors(rel, labels).collect()}
-    assert full["r1"].description == "two words" and full["r1"].anchors_from == "r1" and full["s1"].description is None
+    labels = spark.createDataFrame([("x", "indirect")], LABELS)
+    got = {tuple(r) for r in survivors.found(rel, clusters, systems, labels).collect()}
+    assert got == {("relation", "r1", "r3", "r1"), ("relation", "t1", "", ""), ("cluster", "k1", "2", "2"), ("cluster", "k2", "", ""), ("cluster", "k3", "", "")}
+    full = {r.group_key: r for r in survivors.survivors(rel, clusters, systems, labels).collect()}
+    assert full["r1"].description == "two words" and full["r1"].anchors_from == "r1" and len(full["r1"].anchor_list) == 3 and full["t1"].description is None
+    assert full["r1"].dependency_kind == "direct" and full["t1"].dependency_kind == "direct" and full["k1"].maker == "high"
+    assert survivors.found(rel.limit(0), clusters.limit(0), systems, labels).count() == 0
+
+
+def test_survivors_keep_the_dependencies(spark):
+    """Names and maker come from records of one class, the label agrees with the relation, against all combinations."""
+    import itertools
+
+    rng = random.Random(11)
+    rows = [(f"r{i:03d}", rng.choice(["org/Name", "ORG/name", "org name"]), "x", f"O{i % 25}", None, None, f"2025-01-{rng.randrange(1, 28):02d} 00:00:00", rng.choice(["direct", "Indirect ", "?", None]), rng.choice(["pipeline", "manual", None])) for i in range(200)]
+    rel = spark.createDataFrame(rows, REC).withColumn("recorded_at", F.to_timestamp("recorded_at"))
+    none = spark.createDataFrame([], CLUSTERS)
+    got = survivors.survivors(rel, none, spark.createDataFrame([], "system string, trust int"), spark.createDataFrame([("x", "indirect")], LABELS)).collect()
+    kind = lambda r: {"direct": 0, "indirect": 1}.get((r[7] or "").strip().lower(), 2)
+    made = lambda r: {"pipeline": 0, "manual": 1}.get(r[8], 2)
+    late = lambda r: (-int(r[6][8:10]), r[0])
+    assert len(got) == 25
+    for g in got:
+        rs = [r for r in rows if r[3] == f"O{int(g.group_key[1:]) % 25}"]
+        best = {"label": {}, "maker": {}, "names": {}}
+        for r in rs:
+            for b, c, rank in (("label", kind(r), late(r)), ("maker", made(r), late(r)), ("names", made(r), (-("/" in r[1]), *late(r)))):
+                best[b][c] = min(best[b].get(c, (rank, r)), (rank, r))
+        trust = {b: {c: sum(o[0] >= v[0] for o in cs.values()) for c, v in cs.items()} for b, cs in best.items()}
+        options = [o for o in itertools.product(*best.values()) if o[1] == o[2]]
+        options = [o for o in options if o[0] == 1] or options
+        total = lambda o, trust=trust: sum(t[c] for t, c in zip(trust.values(), o))
+        row = {r[0]: r for r in rs}
+        taken = (kind(row[g.label_from]), made(row[g.maker_from]), made(row[g.names_from]))
+        assert taken in options and total(taken) == max(map(total, options))
+        assert [best[b][c][1][0] for b, c in zip(best, taken)] == [g.label_from, g.maker_from, g.names_from]
 
 
 def test_branch_and_bound_against_brute():
