@@ -2,8 +2,8 @@
 
 Iterative operators cut their lineage by writing an intermediate table below the folder the
 cluster names in ``spark.checkpoint.dir``.  All executors see that folder, so the loss of an
-executor never loses a staged table.  Only when the setting is absent (unit tests, local mode) a
-private temporary folder is used.
+executor never loses a staged table.  Only in local mode (unit tests) the setting may be absent; then a
+private temporary folder is used.  On a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -23,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for staged tables: ``spark.checkpoint.dir``, else a temporary one (local runs)."""
+    """Folder for staged tables: ``spark.checkpoint.dir``, else a temporary one, in local mode only."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_FALLBACK:
         _LOCAL_FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="edgewright-")
@@ -64,6 +66,23 @@ class Stage:
                 p.getFileSystem(conf).delete(p, True)
 
 
+    def drop_path(self, path: str) -> None:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def files_below(spark: SparkSession, path: str) -> list[str]:
+    """Paths of all files below a folder of any file system; none if it isn't there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    found, out = fs.listFiles(p, True), []
+    while found.hasNext():
+        out.append(found.next().getPath().toString())
+    return out
+
+
 def clear_staged(spark: SparkSession) -> None:
     """Deletes all tables this process staged.  Results that still read them must be written first."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
