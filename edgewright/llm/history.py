@@ -1,17 +1,20 @@
 """Check new batches against everything accepted so far, without reading all of it again.
 
-Method: incremental record linkage.  What is known is kept in persisted tables by blocking key:
+Method: incremental record linkage.  What is known is kept in tables below one folder, which outlive
+the process, in directories by a hash of the blocking key:
 
 * ``source_keys``: digest or address to the first source that has it;
 * ``classes``: (block, head) of a relation's writing to its first row and number of rows;
-* ``reps``: (block, head) to the first row of the cluster it belongs to, the representative mapping
-  of a union-find whose unions are only ever appended (the smallest entry holds).
+* ``reps``: (block, head) to the representative of the cluster it belongs to, the mapping of a
+  union-find whose unions are only ever appended (the smallest entry holds);
+* ``weights``: of the pair score, learned once, so a pair's fate doesn't depend on its batch.
 
-A batch probes these tables by key.  Sources link by equal digest or address.  Relations with equal
+A batch probes these tables by key: only directories a key of the batch falls in are read, and what is
+read is reduced to the batch's keys by a semi-join before anything is grouped or moved.  Sources link by equal digest or address.  Relations with equal
 canonical writing share a class; for a class new to the history the other classes of its block are
 fetched, candidates share a deletion neighbour of the first or last letters, and are scored on
-learned weights.  Only blocks with a new class are looked at and only clusters that gain a link
-change.
+the learned weights.  Only blocks with a new class are looked at and only clusters that gain a link
+change.  A batch appends what is new; :meth:`History.compact` merges the parts of each directory.
 
 A block is (relation, object, organisation, size/stage/date part of the subject), so another size,
 stage or date is never a candidate; the head is the subject's name words.  Hot objects spread over
@@ -32,7 +35,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from edgewright.llm import canon, copies
-from edgewright.runtime import Stage
+from edgewright.operators.skew import meet
+from edgewright.runtime import Stage, files_below, small
 
 #: Query parameters that only track a visit.
 TRACKING = r"utm_.*|fbclid|gclid|dclid|gbraid|wbraid|msclkid|yclid|twclid|ttclid|igshid|mc_[ce]id|_ga|_gl|_hsenc|_hsmi|spm|ref|ref_src|referrer|referer|cmpid|campaign|phpsessid|jsessionid|sessionid"
@@ -42,6 +46,12 @@ EMPTY_DIGESTS = ("e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b8
 STAGE_WORDS = "base|sft|dpo|rlhf|rlvr|instruct|chat|think|thinking|reasoning|reward|rm|preview|mix|corpus|prompts|pairs|bench|synth|traces|annealing|pretrain|midtrain|embed|embedding|tokenizer|onnx|gguf|awq|fp8|bf16|fp16|int4|int8"
 WINDOW = 8
 FIT_HEADS = 2000
+#: Fewer heads teach nothing.
+LEAST_HEADS = 20
+#: Directories of a table of a new history.
+BUCKETS = 32
+#: Most keys of a batch that are sent to the scan of the history; beyond, both sides meet in a shuffle.
+PROBE_ROWS = 500_000
 
 
 def digest(c: Column) -> Column:
@@ -147,7 +157,7 @@ def learn_weights(heads: list[str], seed: int = 7) -> np.ndarray:
     """Logistic weights on :func:`features`, from misspelt heads against other heads and heads that
     share one half; without enough heads, weights that accept up to 3 edits of at most a quarter."""
     heads = sorted({h for h in heads if len(h) >= 6})
-    if len(heads) < 20:
+    if len(heads) < LEAST_HEADS:
         return np.array([4.0, -1.0, -2.0, 0.0, 0.0, 0.0])
     rng = random.Random(seed)
     x, y = [], []
@@ -196,127 +206,199 @@ def _linker(weights: list[float]):
     return link
 
 
+_FIRST = "first struct<load_no:int,rel_id:string>"
+TABLES = {
+    "source_keys": "k1 long, k2 long, first struct<load_no:int,at:string,id:string>, bucket int",
+    "classes": f"b1 long, b2 long, head string, {_FIRST}, n long, bucket int",
+    "reps": f"b1 long, b2 long, head string, rep struct<{_FIRST.replace(' ', ':', 1)},head:string>, bucket int",
+}
+_AT = ["b1", "b2", "head"]
+
+
 class History:
-    """Persisted blocking tables below one folder; :meth:`ingest` takes a batch and gives its links."""
+    """Persisted blocking tables below ``path``; :meth:`ingest_sources` and :meth:`ingest_relations` take a
+    batch and give its links.  An existing folder is taken up where it was left, by any session."""
 
-    def __init__(self, spark: SparkSession, stage: Stage | None = None):
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS):
         self.spark = spark
-        self.stage = stage or Stage(spark, "history")
-        self.source_keys: DataFrame | None = None
-        self.classes: DataFrame | None = None
-        self.reps: DataFrame | None = None
-
-    def _append(self, name: str, df: DataFrame) -> DataFrame:
-        """Writes ``df`` as one more part of the table; the parts before are not touched."""
-        new = self.stage.write(df, name)
-        old = getattr(self, name)
-        both = new if old is None else old.unionByName(new)
-        setattr(self, name, both)
-        return new
+        self.stage = Stage(spark, "history")
+        self.path = (path or f"{self.stage.root}/tables").rstrip("/")
+        made = self._files("made")
+        if made:
+            buckets = self.spark.read.schema("buckets int").parquet(f"{self.path}/made").first().buckets
+        else:
+            spark.range(1).selectExpr(f"{buckets} as buckets").coalesce(1).write.parquet(f"{self.path}/made")
+        self.buckets = buckets
+        self.weights: list[float] | None = None
+        if self._files("weights"):
+            self.weights = [r.w for r in spark.read.schema("i int, w double").parquet(f"{self.path}/weights").orderBy("i").collect()]
+
+    def _files(self, name: str) -> list[str]:
+        return [f for f in files_below(self.spark, f"{self.path}/{name}") if f.endswith(".parquet")]
+
+    def _version(self, name: str) -> int:
+        """Number of the latest complete version of a table, 0 if there is none."""
+        done = [f for f in files_below(self.spark, f"{self.path}/{name}") if f.endswith("/_SUCCESS")]
+        return max((int(f.split("/")[-2][1:]) for f in done), default=0)
+
+    def _append(self, name: str, df: DataFrame) -> None:
+        """Adds rows to the directories of a table; the files before are not touched."""
+        at = f"{self.path}/{name}/v{max(1, self._version(name))}"
+        cols = [c.split()[0] for c in re.split(r",\s*(?![^<]*>)", TABLES[name])]
+        df.select(*cols).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(at)
+
+    def _bucket(self, c: str) -> Column:
+        return F.pmod(F.col(c), F.lit(self.buckets)).cast("int")
+
+    def read(self, name: str, buckets: list[int] | None = None) -> DataFrame | None:
+        """A table, or only some of its directories; None before the first batch."""
+        version = self._version(name)
+        if not version:
+            return None
+        t = self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}/v{version}")
+        return t if buckets is None else t.where(F.col("bucket").isin(buckets))
+
+    def probe(self, name: str, keys: DataFrame, on: list[str]) -> DataFrame | None:
+        """The rows of a table that meet ``keys`` (staged, distinct on ``on``), from the directories a key falls in."""
+        if not self._version(name):
+            return None
+        hit = [r.bucket for r in keys.select(self._bucket(on[0]).alias("bucket")).distinct().collect()]  # at most one per directory
+        known, keys = self.read(name, sorted(hit)), keys.select(*on)
+        return known.join(F.broadcast(keys) if small(keys, PROBE_ROWS) else keys, on, "left_semi").drop("bucket")
+
+    def compact(self) -> None:
+        """Rewrites each table with one row per key as a new version, then drops the version before."""
+        rules = {"source_keys": (["k1", "k2"], [F.min("first").alias("first")]), "classes": (_AT, [F.min("first").alias("first"), F.sum("n").alias("n")]), "reps": (_AT, [F.min("rep").alias("rep")])}
+        for name, (keys, aggs) in rules.items():
+            version = self._version(name)
+            if version:
+                whole = self.read(name).groupBy("bucket", *keys).agg(*aggs)
+                whole.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{name}/v{version + 1}")
+                self.stage.drop_path(f"{self.path}/{name}/v{version}")
 
     # -- sources -----------------------------------------------------------------------------
     def ingest_sources(self, batch: DataFrame) -> DataFrame:
         """``key_a, key_b``: each source of the batch that has the digest or the address of an
         earlier one, with the first of those.  Order: load, creation time, id."""
-        rows = self.stage.write(source_rows(batch), "batch-keys")
-        order = F.struct("load_no", "at", "id")
-        firsts = rows.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("n"))
-        if self.source_keys is not None:
-            old = self.source_keys.select("key", F.col("first").alias("old"))
-            firsts = firsts.join(old, "key", "left").select("key", F.least("first", "old").alias("first"), "n", F.col("old").isNotNull().alias("known"))
-        else:
-            firsts = firsts.withColumn("known", F.lit(False))
+        on = ["k1", "k2"]
+        rows = source_rows(batch).select("id", "load_no", "at", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit("key"), "key").alias("k2"))
+        rows = self.stage.write(rows, "batch-keys")
+        firsts = rows.groupBy(*on).agg(F.min(F.struct("load_no", "at", "id")).alias("first"), F.count("*").alias("n"))
         firsts = self.stage.write(firsts, "firsts")
-        self._append("source_keys", firsts.where("not known").select("key", "first"))
-        met = _meet(rows, firsts.where("n > 1 or known"), ["key"], rows.count())
-        best = met.groupBy("id").agg(F.min("first").alias("first")).where("first.id <> id")
+        old = self.probe("source_keys", firsts, on)
+        if old is None:
+            fresh = firsts
+        else:
+            old = old.groupBy(*on).agg(F.min("first").alias("old"))
+            both = firsts.join(old, on, "left").select(*on, F.least("first", "old").alias("first"), "n", F.col("old").isNotNull().alias("known"))
+            firsts = self.stage.write(both, "firsts")
+            fresh = firsts.where("not known")
+        self._append("source_keys", fresh.select(*on, "first", self._bucket("k1").alias("bucket")))
+        repeated = firsts.where("n > 1" if old is None else "n > 1 or known").select(*on, "first", "n")
+        best = meet(rows, repeated, on, "n", rows.count()).groupBy("id").agg(F.min("first").alias("first")).where("first.id <> id")
         return best.select(F.least("first.id", "id").alias("key_a"), F.greatest("first.id", "id").alias("key_b"))
 
     # -- relations ---------------------------------------------------------------------------
     def ingest_relations(self, batch: DataFrame) -> DataFrame:
         """``key_a, key_b``: each row of the batch whose edge was stated before, or with misspelt
         words in the subject, with the first row of its cluster.  Order: load, rel_id."""
-        at = ["b1", "b2", "head"]
+        block = ["b1", "b2"]
         rows = self.stage.write(relation_rows(batch), "batch-rows")
-        new = rows.groupBy(*at).agg(F.min(F.struct("load_no", "rel_id")).alias("first"), F.count("*").alias("n"))
-        if self.classes is not None:
-            old = self.classes.select(*at, F.col("first").alias("old"), F.col("n").alias("old_n"))
-            known = old.groupBy(*at).agg(F.min("old").alias("old"), F.sum("old_n").alias("old_n"))
-            new = new.join(known, at, "left").select(*at, F.least("first", "old").alias("first"), "n", F.col("old").isNotNull().alias("known"))
-        else:
+        new = self.stage.write(rows.groupBy(*_AT).agg(F.min(F.struct("load_no", "rel_id")).alias("first"), F.count("*").alias("n")), "batch-classes")
+        blocks = self.stage.write(new.select(*block).distinct(), "blocks")
+        before, reps = self.probe("classes", blocks, block), self.probe("reps", blocks, block)
+        if before is None:
             new = new.withColumn("known", F.lit(False))
-        new = self.stage.write(new, "batch-classes")
-        linked = self._link(new)
-        self._append("classes", new.select(*at, "first", "n"))
-        changed = new.where("n > 1 or known")
+        else:
+            before = self.stage.write(before.groupBy(*_AT).agg(F.min("first").alias("old"), F.sum("n").alias("old_n")), "before")
+            new = new.join(before, _AT, "left").select(*_AT, F.least("first", "old").alias("first"), "n", F.col("old").isNotNull().alias("known"))
+            new = self.stage.write(new, "batch-classes")
+        if reps is not None:
+            reps = self.stage.write(reps.groupBy(*_AT).agg(F.min("rep").alias("known_rep")), "reps")
+        linked = self._link(new, before, reps)
+        self._append("classes", new.select(*_AT, "first", "n", self._bucket("b1").alias("bucket")))
+        told = new.select(*_AT, "first", "n", "known")
         if linked is not None:
-            self._append("reps", linked)
-            moved = linked.select(*at, "rep")
-            changed = new.join(moved, at, "left").where("n > 1 or known or rep is not null").select(*at, F.least("first", "rep").alias("first"), "n")
-        if self.reps is not None:
-            reps = self.reps.groupBy(*at).agg(F.min("rep").alias("r"))
-            changed = changed.join(reps, at, "left").select(*at, F.least("first", "r").alias("first"), "n")
-        met = _meet(rows, changed, at, rows.count())
+            self._append("reps", linked.select(*_AT, "rep", self._bucket("b1").alias("bucket")))
+            told = told.join(linked.select(*_AT, F.col("rep.first").alias("r1")), _AT, "left")
+        if reps is not None:
+            told = told.join(reps.select(*_AT, F.col("known_rep.first").alias("r2")), _AT, "left")
+        found = [c for c in ("r1", "r2") if c in told.columns]
+        least = F.least("first", *found) if found else F.col("first")
+        changed = told.where(" or ".join(["n > 1", "known", *(f"{c} is not null" for c in found)])).select(*_AT, least.alias("first"), "n")
+        met = meet(rows, self.stage.write(changed, "changed"), _AT, "n", rows.count())
         best = met.where("first.rel_id <> rel_id").groupBy("rel_id").agg(F.min("first").alias("first"))
         return best.select(F.least("first.rel_id", "rel_id").alias("key_a"), F.greatest("first.rel_id", "rel_id").alias("key_b"))
 
-    def _link(self, new: DataFrame) -> DataFrame | None:
-        """``b1, b2, head, rep`` of each class that a link joins to another: union-find by repeated
-        minimum over the links, restarted from the representatives known so far."""
-        at = ["b1", "b2", "head"]
+    def _pair_weights(self, new: DataFrame) -> list[float]:
+        """The stored weights, else weights learned on at most ``FIT_HEADS`` heads of this batch; they are
+        stored as soon as there were enough heads."""
+        if self.weights is None:
+            sample = [r.head for r in new.select("head").orderBy(F.xxhash64("head"), "head").limit(FIT_HEADS).collect()]
+            learned = learn_weights(sample).tolist()
+            if len({h for h in sample if len(h) >= 6}) < LEAST_HEADS:
+                return learned
+            self.weights = learned
+            self.spark.createDataFrame(list(enumerate(learned)), "i int, w double").coalesce(1).write.parquet(f"{self.path}/weights")
+        return self.weights
+
+    def _link(self, new: DataFrame, before: DataFrame | None, reps: DataFrame | None) -> DataFrame | None:
+        """``b1, b2, head, rep`` of each class that a link joins to another: union-find by the least
+        neighbour and the representative of the representative, restarted from those known so far."""
+        weights = self._pair_weights(new)
         fresh = new.where("not known").select("b1", "b2").distinct()
-        pool = new.select(*at, "first", "n")
-        if self.classes is not None:
-            before = self.classes.join(fresh, ["b1", "b2"], "left_semi").select(*at, "first", "n")
-            pool = pool.unionByName(before)
-        pool = pool.groupBy(*at).agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("head <> ''")
+        pool = new.select(*_AT, "first", "n")
+        if before is not None:
+            pool = pool.unionByName(before.join(fresh, ["b1", "b2"], "left_semi").select(*_AT, F.col("old").alias("first"), F.col("old_n").alias("n")))
+        pool = pool.groupBy(*_AT).agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("head <> ''")
         crowded = pool.groupBy("b1", "b2").agg(F.count("*").alias("heads")).where("heads > 1").select("b1", "b2")
         pool = self.stage.write(pool.join(crowded, ["b1", "b2"], "left_semi"), "pool")
         if pool.isEmpty():
             return None
-        sample = [r.head for r in new.select("head").orderBy(F.xxhash64("head"), "head").limit(FIT_HEADS).collect()]
-        keyed = pool.select(*at, "n", F.explode(neighbours(F.col("head"))).alias("key"))
+        keyed = pool.select(*_AT, "n", F.explode(neighbours(F.col("head"))).alias("key"))
         keyed = keyed.repartition("b1", "b2", "key").sortWithinPartitions("b1", "b2", "key", F.desc("n"), "head")
-        found = keyed.select("b1", "b2", "key", "head").mapInPandas(_linker(learn_weights(sample).tolist()), "b1 long, b2 long, head string, hub string")
+        found = keyed.select("b1", "b2", "key", "head").mapInPandas(_linker(weights), "b1 long, b2 long, head string, hub string")
         links = self.stage.write(found.distinct(), "links")
-        ends = links.select(*at, F.col("hub").alias("other")).unionByName(links.select("b1", "b2", F.col("hub").alias("head"), F.col("head").alias("other")))
-        label = pool.join(ends.select(*at).distinct(), at).select(*at, F.col("first").alias("rep"))
-        if self.reps is not None:
-            reps = self.reps.groupBy(*at).agg(F.min("rep").alias("r"))
-            label = label.join(reps, at, "left").select(*at, F.least("rep", "r").alias("rep"))
+        ends = links.select(*_AT, F.col("hub").alias("other")).unionByName(links.select("b1", "b2", F.col("hub").alias("head"), F.col("head").alias("other")))
+        label = pool.join(ends.select(*_AT).distinct(), _AT).select(*_AT, F.struct("first", "head").alias("rep"))
+        if reps is not None:
+            label = label.join(reps, _AT, "left").select(*_AT, F.least("rep", "known_rep").alias("rep"))
         label = self.stage.write(label, "labels")
         while True:
-            told = ends.join(label.select("b1", "b2", F.col("head").alias("other"), "rep"), ["b1", "b2", "other"]).groupBy(*at).agg(F.min("rep").alias("told"))
-            new_label = self.stage.write(label.join(told, at).select(*at, F.least("rep", "told").alias("rep"), (F.col("told") < F.col("rep")).alias("moved")), "labels")
-            again = not new_label.where("moved").isEmpty()
-            label = new_label.drop("moved")
+            told = ends.join(label.select("b1", "b2", F.col("head").alias("other"), "rep"), ["b1", "b2", "other"]).groupBy(*_AT).agg(F.min("rep").alias("told"))
+            nearer = label.join(told, _AT).select(*_AT, F.col("rep").alias("was"), F.least("rep", "told").alias("rep"))
+            jump = label.select("b1", "b2", F.col("head").alias("to"), F.col("rep").alias("far"))
+            moved = nearer.withColumn("to", F.col("rep.head")).join(jump, ["b1", "b2", "to"], "left").select(*_AT, F.least("rep", "far").alias("rep"), "was")
+            new_label = self.stage.write(moved.select(*_AT, "rep", (F.col("rep") < F.col("was")).alias("moved")), "labels")
+            self.stage.drop(label)
+            label, again = new_label.drop("moved"), not new_label.where("moved").isEmpty()
+            label._edgewright_path = new_label._edgewright_path
             if not again:
                 return label
 
 
-def _meet(rows: DataFrame, firsts: DataFrame, at: list[str], total: int) -> DataFrame:
-    """``rows`` joined to the first of their key.  Keys of over 1/1000 of the rows, of which there are
-    at most 1000, are broadcast, so that no task gets all rows of a hot key."""
-    heavy = F.col("n") * copies.HEAVY_SHARE > total
-    hot = firsts.where(heavy).select(*at, F.col("first").alias("hot"))
-    cold = firsts.where(~heavy).select(*at, "first")
-    marked = rows.join(F.broadcast(hot), at, "left")
-    a = marked.where("hot is not null").withColumn("first", F.col("hot")).drop("hot")
-    b = marked.where("hot is null").drop("hot").join(cold, at)
-    return a.unionByName(b)
+def _load() -> Column:
+    """The load of a row; null and anything below 0 is history."""
+    return F.greatest(F.coalesce("load_no", F.lit(0)), F.lit(0))
 
 
-def found(sources: DataFrame, relations: DataFrame) -> DataFrame:
+def found(sources: DataFrame, relations: DataFrame, path: str | None = None) -> DataFrame:
     """``record_kind, key_a, key_b`` of each later row that repeats an accepted one: the history
-    (load 0) is taken in first, then the later loads as one batch.
+    (load 0) is taken in first, then each later load as a batch of its own, in order.
 
     Nulls identify nothing; a null load_no counts as history; ties go to the smaller key; repeats
-    of a delivery count once; empty tables give no pairs; other columns are ignored.
+    of a delivery count once; empty tables give no pairs; other columns are ignored.  A source delivered in
+    several loads under one id counts in the earliest.  ``path``: where the history is to be kept; by default it goes with the staged tables.
     """
-    spark = relations.sparkSession
-    h = History(spark)
-    old, new = F.coalesce("load_no", F.lit(0)) < 1, F.coalesce("load_no", F.lit(0)) >= 1
-    h.ingest_sources(sources.where(old))
-    h.ingest_relations(relations.where(old))
-    s, r = h.ingest_sources(sources.where(new)), h.ingest_relations(relations.where(new))
-    return s.select(F.lit("source").alias("record_kind"), "key_a", "key_b").unionByName(r.select(F.lit("relation").alias("record_kind"), "key_a", "key_b"))
+    h = History(relations.sparkSession, path)
+    one = h.stage.write(sources.where("id is not null").groupBy(F.col("id").cast("string").alias("id")).agg(F.min(F.struct(_load().alias("load_no"), F.coalesce("created_at", F.lit("")).alias("created_at"), "content_hash", "canonical_url")).alias("m")).select("id", "m.*"), "sources")
+    loads = sorted({r.l for df in (one, relations) for r in df.select(_load().alias("l")).distinct().collect()})
+    pairs = []
+    for load in loads:
+        now = _load() == load
+        new = (("source", h.ingest_sources(one.where(now))), ("relation", h.ingest_relations(relations.where(now))))
+        pairs += [df.select(F.lit(kind).alias("record_kind"), "key_a", "key_b") for kind, df in new if load > 0]
+    out = relations.sparkSession.createDataFrame([], "record_kind string, key_a string, key_b string")
+    for p in pairs:
+        out = out.unionByName(p)
+    return out.distinct()

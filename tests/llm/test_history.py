@@ -1,3 +1,5 @@
+import re
+
 from edgewright.llm import history as H
 from pyspark.sql import functions as F
 
@@ -57,6 +59,35 @@ def test_batches_one_by_one_give_the_same(spark):
     assert got == {("r1", "r2"), ("r1", "r3"), ("r1", "r6"), ("ra", "rb")}
 
 
+def test_a_history_outlives_its_session(spark, tmp_path):
+    """Load 0 goes in through one session; another takes the folder up, learns nothing anew, and reads only the
+    directories its keys fall in."""
+    path = f"file://{tmp_path}/history"
+    base = [(f"r{i:04d}", 0, f"org/Kubagisu{chr(97 + i % 26)}{chr(97 + i // 26)}lomateru-8B", "x", f"T{i}") for i in range(60)]
+    src = [(f"s{i:02d}", 0, f"{i:063x}b", None, "1") for i in range(40)]
+    one = H.History(spark, path, buckets=16)
+    assert one.ingest_relations(spark.createDataFrame(base, REL)).count() == 0 and one.ingest_sources(sources(spark, src)).count() == 0
+    assert one.weights is not None
+    other = spark.newSession()
+    two = H.History(other, path)
+    assert two.buckets == 16 and two.weights == one.weights
+    typo = base[7][2].replace("lomateru", "lomaeru")
+    batch = other.createDataFrame([("r9000", 1, typo, "x", "T7"), ("r9001", 1, base[9][2].upper(), "x", "t9")], REL)
+    keys = two.stage.write(H.relation_rows(batch).select("b1", "b2").distinct(), "keys")
+    read = two.probe("classes", keys, ["b1", "b2"])
+    hit = {r.b for r in keys.selectExpr("pmod(b1, 16) as b").collect()}
+    plan = read._jdf.queryExecution().executedPlan().toString().replace("\n", " ")
+    read_only = re.search(r"PartitionFilters: \[.*?bucket#\d+ (?:IN \(([\d,]+)\)|= (\d+))", plan)
+    assert {int(x) for x in (read_only[1] or read_only[2]).split(",")} == hit and len(hit) <= 2 and read.count() == 2
+    assert {tuple(r) for r in two.ingest_relations(batch).collect()} == {("r0007", "r9000"), ("r0009", "r9001")}
+    assert {tuple(r) for r in two.ingest_sources(sources(other, [("s99", 1, "SHA256:" + src[3][2].upper(), None, "2")])).collect()} == {("s03", "s99")}
+    two.compact()
+    three = H.History(spark, path)
+    again = spark.createDataFrame([("r9500", 2, typo, "x", "T7")], REL)
+    assert {tuple(r) for r in three.ingest_relations(again).collect()} == {("r0007", "r9500")}
+    assert three.read("classes").groupBy("b1", "b2", "head").count().where("count > 1").count() == 1  # the class of the last batch
+
+
 def test_edits_brute():
     assert [H.edits("abc", x) for x in ("abc", "acb", "ab", "abcd", "axc", "")] == [0, 1, 1, 1, 1, 3]
 
