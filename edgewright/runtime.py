@@ -8,6 +8,7 @@ private temporary folder is used.  On a cluster its absence is an error.
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -41,12 +42,11 @@ class Stage:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-        self._n = 0
+        self._n = itertools.count(1)
         _STAGED.add(self.root)
 
     def path(self, name: str) -> str:
-        self._n += 1
-        return f"{self.root}/{self._n:03d}-{name}"
+        return f"{self.root}/{next(self._n):03d}-{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
@@ -71,16 +71,15 @@ class Stage:
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def files_below(spark: SparkSession, path: str) -> list[str]:
-    """Paths of all files below a folder of any file system; none if it isn't there."""
+def folders_in(spark: SparkSession, path: str, holding: str = "") -> list[str]:
+    """Names of the folders in a folder of any file system, of those that hold a file ``holding`` if one is
+    named; none if it isn't there."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(p):
         return []
-    found, out = fs.listFiles(p, True), []
-    while found.hasNext():
-        out.append(found.next().getPath().toString())
-    return out
+    inside = [f.getPath() for f in fs.listStatus(p) if f.isDirectory()]
+    return [q.getName() for q in inside if not holding or fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(q, holding))]
 
 
 def clear_staged(spark: SparkSession) -> None:
