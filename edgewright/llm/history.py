@@ -26,6 +26,7 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
 import numpy as np
@@ -36,7 +37,7 @@ from pyspark.sql.types import StringType
 
 from edgewright.llm import canon, copies
 from edgewright.operators.skew import meet
-from edgewright.runtime import Stage, files_below, small
+from edgewright.runtime import Stage, folders_in, small
 
 #: Query parameters that only track a visit.
 TRACKING = r"utm_.*|fbclid|gclid|dclid|gbraid|wbraid|msclkid|yclid|twclid|ttclid|igshid|mc_[ce]id|_ga|_gl|_hsenc|_hsmi|spm|ref|ref_src|referrer|referer|cmpid|campaign|phpsessid|jsessionid|sessionid"
@@ -49,7 +50,7 @@ FIT_HEADS = 2000
 #: Fewer heads teach nothing.
 LEAST_HEADS = 20
 #: Directories of a table of a new history.
-BUCKETS = 32
+BUCKETS = 16
 #: Most keys of a batch that are sent to the scan of the history; beyond, both sides meet in a shuffle.
 PROBE_ROWS = 500_000
 
@@ -223,27 +224,21 @@ class History:
         self.spark = spark
         self.stage = Stage(spark, "history")
         self.path = (path or f"{self.stage.root}/tables").rstrip("/")
-        made = self._files("made")
-        if made:
+        there = set(folders_in(spark, self.path))
+        if "made" in there:
             buckets = self.spark.read.schema("buckets int").parquet(f"{self.path}/made").first().buckets
         else:
             spark.range(1).selectExpr(f"{buckets} as buckets").coalesce(1).write.parquet(f"{self.path}/made")
         self.buckets = buckets
         self.weights: list[float] | None = None
-        if self._files("weights"):
+        if "weights" in there:
             self.weights = [r.w for r in spark.read.schema("i int, w double").parquet(f"{self.path}/weights").orderBy("i").collect()]
-
-    def _files(self, name: str) -> list[str]:
-        return [f for f in files_below(self.spark, f"{self.path}/{name}") if f.endswith(".parquet")]
-
-    def _version(self, name: str) -> int:
-        """Number of the latest complete version of a table, 0 if there is none."""
-        done = [f for f in files_below(self.spark, f"{self.path}/{name}") if f.endswith("/_SUCCESS")]
-        return max((int(f.split("/")[-2][1:]) for f in done), default=0)
+        self.versions = {name: max((int(v[1:]) for v in folders_in(spark, f"{self.path}/{name}", "_SUCCESS")), default=0) if name in there else 0 for name in TABLES}
 
     def _append(self, name: str, df: DataFrame) -> None:
         """Adds rows to the directories of a table; the files before are not touched."""
-        at = f"{self.path}/{name}/v{max(1, self._version(name))}"
+        self.versions[name] = max(1, self.versions[name])
+        at = f"{self.path}/{name}/v{self.versions[name]}"
         cols = [c.split()[0] for c in re.split(r",\s*(?![^<]*>)", TABLES[name])]
         df.select(*cols).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(at)
 
@@ -252,28 +247,29 @@ class History:
 
     def read(self, name: str, buckets: list[int] | None = None) -> DataFrame | None:
         """A table, or only some of its directories; None before the first batch."""
-        version = self._version(name)
+        version = self.versions[name]
         if not version:
             return None
         t = self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}/v{version}")
         return t if buckets is None else t.where(F.col("bucket").isin(buckets))
 
-    def probe(self, name: str, keys: DataFrame, on: list[str]) -> DataFrame | None:
-        """The rows of a table that meet ``keys`` (staged, distinct on ``on``), from the directories a key falls in."""
-        if not self._version(name):
-            return None
+    def probe(self, names: list[str], keys: DataFrame, on: list[str]) -> list[DataFrame | None]:
+        """For each table its rows that meet ``keys`` (staged, distinct on ``on``), from the directories a key falls in."""
+        if not any(self.versions[n] for n in names):
+            return [None] * len(names)
         hit = [r.bucket for r in keys.select(self._bucket(on[0]).alias("bucket")).distinct().collect()]  # at most one per directory
-        known, keys = self.read(name, sorted(hit)), keys.select(*on)
-        return known.join(F.broadcast(keys) if small(keys, PROBE_ROWS) else keys, on, "left_semi").drop("bucket")
+        keys = F.broadcast(keys.select(*on)) if small(keys, PROBE_ROWS) else keys.select(*on)
+        return [t if (t := self.read(n, sorted(hit))) is None else t.join(keys, on, "left_semi").drop("bucket") for n in names]
 
     def compact(self) -> None:
         """Rewrites each table with one row per key as a new version, then drops the version before."""
         rules = {"source_keys": (["k1", "k2"], [F.min("first").alias("first")]), "classes": (_AT, [F.min("first").alias("first"), F.sum("n").alias("n")]), "reps": (_AT, [F.min("rep").alias("rep")])}
         for name, (keys, aggs) in rules.items():
-            version = self._version(name)
+            version = self.versions[name]
             if version:
                 whole = self.read(name).groupBy("bucket", *keys).agg(*aggs)
                 whole.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{name}/v{version + 1}")
+                self.versions[name] = version + 1
                 self.stage.drop_path(f"{self.path}/{name}/v{version}")
 
     # -- sources -----------------------------------------------------------------------------
@@ -285,7 +281,7 @@ class History:
         rows = self.stage.write(rows, "batch-keys")
         firsts = rows.groupBy(*on).agg(F.min(F.struct("load_no", "at", "id")).alias("first"), F.count("*").alias("n"))
         firsts = self.stage.write(firsts, "firsts")
-        old = self.probe("source_keys", firsts, on)
+        (old,) = self.probe(["source_keys"], firsts, on)
         if old is None:
             fresh = firsts
         else:
@@ -306,7 +302,7 @@ class History:
         rows = self.stage.write(relation_rows(batch), "batch-rows")
         new = self.stage.write(rows.groupBy(*_AT).agg(F.min(F.struct("load_no", "rel_id")).alias("first"), F.count("*").alias("n")), "batch-classes")
         blocks = self.stage.write(new.select(*block).distinct(), "blocks")
-        before, reps = self.probe("classes", blocks, block), self.probe("reps", blocks, block)
+        before, reps = self.probe(["classes", "reps"], blocks, block)
         if before is None:
             new = new.withColumn("known", F.lit(False))
         else:
@@ -359,6 +355,8 @@ class History:
         keyed = keyed.repartition("b1", "b2", "key").sortWithinPartitions("b1", "b2", "key", F.desc("n"), "head")
         found = keyed.select("b1", "b2", "key", "head").mapInPandas(_linker(weights), "b1 long, b2 long, head string, hub string")
         links = self.stage.write(found.distinct(), "links")
+        if links.isEmpty():
+            return None
         ends = links.select(*_AT, F.col("hub").alias("other")).unionByName(links.select("b1", "b2", F.col("hub").alias("head"), F.col("head").alias("other")))
         label = pool.join(ends.select(*_AT).distinct(), _AT).select(*_AT, F.struct("first", "head").alias("rep"))
         if reps is not None:
@@ -392,12 +390,15 @@ def found(sources: DataFrame, relations: DataFrame, path: str | None = None) ->
     """
     h = History(relations.sparkSession, path)
     one = h.stage.write(sources.where("id is not null").groupBy(F.col("id").cast("string").alias("id")).agg(F.min(F.struct(_load().alias("load_no"), F.coalesce("created_at", F.lit("")).alias("created_at"), "content_hash", "canonical_url")).alias("m")).select("id", "m.*"), "sources")
-    loads = sorted({r.l for df in (one, relations) for r in df.select(_load().alias("l")).distinct().collect()})
-    pairs = []
-    for load in loads:
-        now = _load() == load
-        new = (("source", h.ingest_sources(one.where(now))), ("relation", h.ingest_relations(relations.where(now))))
-        pairs += [df.select(F.lit(kind).alias("record_kind"), "key_a", "key_b") for kind, df in new if load > 0]
+
+    def one_by_one(kind: str, rows: DataFrame, ingest) -> list[DataFrame]:
+        loads = sorted(r.l for r in rows.select(_load().alias("l")).distinct().collect())
+        links = [(load, ingest(rows.where(_load() == load))) for load in loads]
+        return [df.select(F.lit(kind).alias("record_kind"), "key_a", "key_b") for load, df in links if load > 0]
+
+    with ThreadPoolExecutor(2) as both:  # the two kinds of records don't touch each other's tables
+        jobs = [both.submit(one_by_one, "source", one, h.ingest_sources), both.submit(one_by_one, "relation", relations, h.ingest_relations)]
+        pairs = [df for job in jobs for df in job.result()]
     out = relations.sparkSession.createDataFrame([], "record_kind string, key_a string, key_b string")
     for p in pairs:
         out = out.unionByName(p)

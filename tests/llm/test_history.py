@@ -74,7 +74,7 @@ def test_a_history_outlives_its_session(spark, tmp_path):
     typo = base[7][2].replace("lomateru", "lomaeru")
     batch = other.createDataFrame([("r9000", 1, typo, "x", "T7"), ("r9001", 1, base[9][2].upper(), "x", "t9")], REL)
     keys = two.stage.write(H.relation_rows(batch).select("b1", "b2").distinct(), "keys")
-    read = two.probe("classes", keys, ["b1", "b2"])
+    (read,) = two.probe(["classes"], keys, ["b1", "b2"])
     hit = {r.b for r in keys.selectExpr("pmod(b1, 16) as b").collect()}
     plan = read._jdf.queryExecution().executedPlan().toString().replace("\n", " ")
     read_only = re.search(r"PartitionFilters: \[.*?bucket#\d+ (?:IN \(([\d,]+)\)|= (\d+))", plan)
