@@ -1,7 +1,9 @@
 """Map freely typed values to the entries of a reference list, or report them as unmatched.
 
 Method: the distinct values are normalised to (spec, body): the spec holds size, stage and other
-numbers, which must be equal, the body the name's letters.  Candidates come from an inverted index of
+numbers, which must be equal, the body the name's letters.  Which words are stages the list itself
+tells: last words that many of its names share.  A typed word stands for the stage it begins or that begins
+it, or that it nearly is, whatever the list's stages are called.  Candidates come from an inverted index of
 character n-grams, a table joined on (spec, n-gram); they are scored by idf-weighted cosine, and the
 best is accepted above a threshold and a margin to the next entry.  An edit-distance check of the
 accepted one follows.
@@ -10,9 +12,11 @@ accepted one follows.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
+from os.path import commonprefix
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
@@ -25,53 +29,58 @@ THRESHOLD = 0.2
 MARGIN = 0.05
 LIST_ROWS = 1_000_000
 
-#: Other writings of stage words.
-STAGE_FORMS = {
-    "base": ("base", "basemodel", "pretrained", "foundation"),
-    "sft": ("sft", "supervised", "finetuned"),
-    "dpo": ("dpo", "preference"),
-    "instruct": ("instruct", "instruction", "instructiontuned", "inst", "instr", "instructed"),
-    "chat": ("chat", "chatversion", "chatbot", "conversational"),
-    "think": ("think", "thinking", "reasoning", "reasoner"),
-    "reward": ("reward", "rewardmodel", "rm", "rmreward"),
-    "preview": ("preview", "prev", "previews"),
-    "corpus": ("corpus", "corpusdata", "corp", "corpora"),
-    "mix": ("mix", "mixture", "mixed"),
-    "bench": ("bench", "benchmark", "benchmarks"),
-    "synth": ("synth", "synthetic", "synthesized", "synthesised"),
-    "prompts": ("prompts", "promptset", "prompt"),
-    "pairs": ("pairs", "pairdata", "pair"),
-    "traces": ("traces", "trace"),
-    "annealing": ("annealing", "anneal", "annealed"),
-}
+#: A last word of at least one in so many of the list's names is a stage; there are at most so many.
+STAGE_SHARE = 200
+#: Other words for common stages, of which neither begins the other.
+SYNONYMS = {"pretrained": "base", "foundation": "base", "supervised": "sft", "finetuned": "sft", "preference": "dpo", "conversational": "chat", "reasoning": "think", "reasoner": "think", "rm": "reward"}
 #: Words beside a name that name nothing.
 FILLERS = frozenset("the a an model models version versions data dataset datasets set sets tuned size stage date variant checkpoint release family billion bn".split())
 #: Auxiliaries before a relation label.
 AUXILIARIES = re.compile(r"^(?:(?:is|are|was|were|be|been|being|has|have|had|it|gets?|got)[\s_-]+)+")
-_FORM_STAGE = {f: s for s, forms in STAGE_FORMS.items() for f in forms}
 _SIZE = re.compile(r"(\d+(?:\.\d+)?)\s*(billion|bn|b|million|mn|m|trillion|tn|t)(?![a-z]{0,1}\d)")
 _UNIT = {"billion": "b", "bn": "b", "b": "b", "million": "m", "mn": "m", "m": "m", "trillion": "t", "tn": "t", "t": "t"}
 
 
-def _stage_of(word: str) -> str | None:
-    """Stage a whole word stands for: a known form, a beginning of four letters or more, or one
-    letter off a word of five or more."""
-    if word in _FORM_STAGE:
-        return _FORM_STAGE[word]
-    for stage in STAGE_FORMS:
-        if len(word) >= 4 and stage.startswith(word) or len(word) >= 4 and len(stage) >= 5 and abs(len(word) - len(stage)) <= 1 and edits(word, stage) == 1:
-            return stage
-    return None
+class Stages:
+    """The stage words of a list, and which of them a typed word stands for.
 
+    ``names`` are words of the list's names that look like a stage but are none.
+    """
 
-def parse_artifact(text: str, orgs: dict[str, str]) -> tuple[str, str, str]:
-    """(spec, organisation, body) of an artifact name in any writing.
+    def __init__(self, words: Iterable[str], names: Iterable[str] = ()):
+        self.words = sorted(set(words))
+        self.names = frozenset(names)
+        self.exact = {w: w for w in self.words} | {f: s for f, s in SYNONYMS.items() if s in set(self.words)}
+        self.forms = sorted({*self.exact, *(w[:n] for w in self.words for n in range(4, len(w)))}, key=lambda f: (-len(f), f))
+
+    def of(self, word: str) -> str | None:
+        """The stage a whole word stands for: its own, one that it begins or that begins it, one that shares
+        all but three letters of its beginning, ends it, or is one letter off."""
+        known = self.exact.get(word)
+        if known is not None or len(word) < 4 or word in self.names:
+            return known
+        best = (0, None)
+        for stage in self.words:
+            same = len(commonprefix((word, stage)))
+            fits = same == len(stage) or same == len(word) or same >= max(4, len(stage) - 3) or len(stage) >= 4 and word.endswith(stage)
+            if fits or len(stage) >= 5 and abs(len(word) - len(stage)) <= 1 and edits(word, stage) == 1:
+                best = max(best, (same, stage), key=lambda b: b[0]) if best[1] else (same, stage)
+        return best[1]
+
+    def ending(self, body: str) -> tuple[str, str]:
+        """(stage, rest) of a name written in one word."""
+        for form in self.forms:
+            if body.endswith(form) and len(body) - len(form) >= 4:
+                return self.exact.get(form) or next(w for w in self.words if w.startswith(form)), body[: -len(form)]
+        return "", body
 
-    ``orgs`` maps compact organisation names to themselves.  A value without letters gives an empty
-    body, which matches nothing.
-    """
-    s = fold(text)
-    s = re.sub(r"\([^()]*\)", " ", s) if re.search(r"[^\W_].*\(|\).*[^\W_]", s) else s
+
+def _compact(s: str) -> str:
+    return "".join(re.findall(r"[^\W_]+", s))
+
+
+def _numbers_out(s: str) -> tuple[str, list[str]]:
+    """A folded name without its sizes, and its sizes and other numbers in comparable form."""
     numbers: list[str] = []
 
     def size(m: re.Match) -> str:
@@ -81,7 +90,39 @@ def parse_artifact(text: str, orgs: dict[str, str]) -> tuple[str, str, str]:
         return " "
 
     s = _SIZE.sub(size, s)
-    numbers += re.findall(r"\d+(?:\.\d+)*", s)
+    return s, numbers + re.findall(r"\d+(?:\.\d+)*", s)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _name_words(text: pd.Series) -> pd.Series:
+    """The words of a list's full name, organisation and numbers left out."""
+    return text.map(lambda t: re.findall(r"[^\W\d_]+", _numbers_out(fold(t).partition("/")[2])[0]))
+
+
+def learn_stages(entries: DataFrame) -> Stages:
+    """The stages of a list of ``entries(kind, ref_id, text)``: the last words at least one in ``STAGE_SHARE``
+    of its full names (``organisation/name``) share.  At most ``STAGE_SHARE`` words, and those names that
+    look like one of them, come to the driver."""
+    full = entries.where("kind <> 'relation' and text like '%/%'").select(_name_words("text").alias("w")).where("size(w) > 1")
+    n = full.count()
+    last = full.groupBy(F.element_at("w", -1).alias("word")).agg(F.count("*").alias("n"), F.countDistinct("w").alias("names")).where((F.col("n") * STAGE_SHARE >= n) & (F.col("names") > 1))
+    stages = Stages(r.word for r in last.collect())
+    like = full.select(F.explode(F.slice("w", 1, F.size("w") - 1)).alias("word")).distinct()
+    alike = F.lit(False)
+    for w in stages.words:
+        alike = alike | F.col("word").startswith(w[:4]) | F.col("word").endswith(w) | (F.levenshtein("word", F.lit(w)) <= 2)
+    return Stages(stages.words, [r.word for r in like.where(alike).collect() if r.word not in stages.words])
+
+
+def parse_artifact(text: str, orgs: dict[str, str], stages: Stages) -> tuple[str, str, str]:
+    """(spec, organisation, body) of an artifact name in any writing.
+
+    ``orgs`` maps compact organisation names to themselves.  A value without letters gives an empty
+    body, which matches nothing.
+    """
+    s = fold(text)
+    s = re.sub(r"\([^()]*\)", " ", s) if re.search(r"[^\W_].*\(|\).*[^\W_]", s) else s
+    s, numbers = _numbers_out(s)
     words = re.findall(r"[^\W\d_]+", s)
     org = ""
     for n in range(min(3, len(words)), 0, -1):  # an organisation may be written as several words, anywhere
@@ -94,18 +135,15 @@ def parse_artifact(text: str, orgs: dict[str, str]) -> tuple[str, str, str]:
             break
     words = [w for w in words if w not in FILLERS] or words
     stage, at = "", None
-    exact = [i for i, w in enumerate(words) if w in _FORM_STAGE]
-    near = exact or [i for i, w in enumerate(words) if _stage_of(w)]
+    exact = [i for i, w in enumerate(words) if w in stages.exact]
+    near = exact or [i for i, w in enumerate(words) if stages.of(w)]
     if near and len(words) > 1:
         at = near[-1] if near[-1] >= len(words) - 1 - near[0] else near[0]
-        stage = _stage_of(words[at])
-        words = [w for i, w in enumerate(words) if i != at and not (i in exact and _FORM_STAGE[w] == stage)]
+        stage = stages.of(words[at])
+        words = [w for i, w in enumerate(words) if i != at and not (i in exact and stages.exact[w] == stage)]
     body = "".join(words)
-    if not stage:  # written in one word
-        for form in sorted(_FORM_STAGE, key=len, reverse=True):
-            if body.endswith(form) and len(body) - len(form) >= 4:
-                stage, body = _FORM_STAGE[form], body[: -len(form)]
-                break
+    if not stage:
+        stage, body = stages.ending(body)
     if not org:
         for o in orgs:
             if len(o) >= 5 and body.startswith(o) and len(body) - len(o) >= 4:
@@ -131,11 +169,11 @@ def grams(body: str) -> list[str]:
 _PARSED = StructType([StructField("spec", StringType()), StructField("org", StringType()), StructField("body", StringType()), StructField("grams", ArrayType(StringType()))])
 
 
-def _parser(orgs: dict[str, str]):
+def _parser(orgs: dict[str, str], stages: Stages):
     def parse(kind: pd.Series, text: pd.Series) -> pd.DataFrame:
         out = []
         for k, t in zip(kind, text):
-            spec, org, body = parse_label(t) if k == "relation" else parse_artifact(t, orgs)
+            spec, org, body = parse_label(t) if k == "relation" else parse_artifact(t, orgs, stages)
             out.append((spec, org, body, grams(body)))
         return pd.DataFrame(out, columns=["spec", "org", "body", "grams"])
 
@@ -155,13 +193,12 @@ def match(values: DataFrame, entries: DataFrame, threshold: float = THRESHOLD, m
     kind 'relation' compares labels, any other kind artifact names, within kind only.  A value that
     names another organisation than the entry's is no match; ties between entries are unmatched
     (margin).  The reference list must have at most ``LIST_ROWS`` rows, else ValueError; only its
-    organisation names come to the driver.
+    organisation names, its stages and the names like them come to the driver.
     """
     if not small(entries, LIST_ROWS):
         raise ValueError(f"the reference list has more than {LIST_ROWS} rows")
     names = entries.where("kind <> 'relation' and text like '%/%'").select(F.explode(F.array(F.lower(F.substring_index("text", "/", 1)))).alias("org")).distinct().collect()
-    orgs = {"".join(re.findall(r"[^\W_]+", r.org)): r.org for r in names}
-    parse = _parser(orgs)
+    parse = _parser({_compact(r.org): r.org for r in names}, learn_stages(entries))
     stage = Stage(values.sparkSession, "match")  # texts are parsed once, not in each branch below
     forms = entries.where("text is not null").distinct().withColumn("p", parse("kind", "text"))
     full = entries.where("text like '%/%'").groupBy("ref_id").agg(F.min(F.lower(F.substring_index("text", "/", 1))).alias("own_org"))
@@ -184,8 +221,10 @@ def match(values: DataFrame, entries: DataFrame, threshold: float = THRESHOLD, m
     scores = hits.groupBy("kind", "value", "body", "ref_id", "ref_body", "ref_norm").agg(F.sum(F.col("w") * F.col("vw")).alias("dot")).join(vnorm, ["kind", "value"])
     scores = scores.withColumn("score", F.col("dot") / (F.col("ref_norm") * F.col("value_norm")))
     per_ref = scores.groupBy("kind", "value", "body", "ref_id").agg(F.max(F.struct("score", "ref_body")).alias("s"))
-    ranked = per_ref.groupBy("kind", "value", "body").agg(F.slice(F.sort_array(F.collect_list(F.struct("s.score", "ref_id", "s.ref_body")), False), 1, 2).alias("top"))
-    best, second = F.col("top")[0], F.coalesce(F.get("top", F.lit(1))["score"], F.lit(0.0))
+    place = F.row_number().over(Window.partitionBy("kind", "value").orderBy(F.desc("score"), F.desc("ref_id")))
+    two = per_ref.select("kind", "value", "body", "s.score", "ref_id", "s.ref_body").withColumn("place", place).where("place <= 2")
+    ranked = two.groupBy("kind", "value", "body").agg(F.max(F.struct("score", "ref_id", "ref_body")).alias("best"), F.min(F.when(F.col("place") == 2, F.col("score"))).alias("second"))
+    best, second = F.col("best"), F.coalesce("second", F.lit(0.0))
     taken = ranked.where((best["score"] >= threshold) & (best["score"] - second >= margin)).select("kind", "value", _verified(best["ref_id"], F.col("body"), best["ref_body"]).alias("ref_id")).where("ref_id <> ''")
     return parsed.select("kind", "value").join(taken, ["kind", "value"], "left").select("kind", "value", F.coalesce("ref_id", F.lit("")).alias("ref_id"))
 

@@ -4,13 +4,15 @@ ORGS = {"opalforge": "opalforge", "thornfieldml": "thornfield-ml"}
 
 
 def test_parse():
-    p = lambda s: E.parse_artifact(s, ORGS)
+    stages = E.Stages(["chat", "reward", "pairs", "preview", "base", "mix"], ["mixobaru"])
+    p = lambda s: E.parse_artifact(s, ORGS, stages)
     want = ("chat|8b", "thornfield-ml", "fokakizufiqanu")
     for s in ("thornfield-ml/Fokakizu-Fiqanu-8B-Chat", "THORNFIELD-ML: fokakizu fiqanu - 8 billion - chat version ?", "the Chat Thornfield-ml Fokakizu_Fiqanu_8bn (see card)"):
         assert p(s) == want
     assert p("Fokakizu [stage=Reward, size=1.5B]") == ("reward|1.5b", "", "fokakizu")
     assert p("kovupokucefone0.5bpairs")[0] == "pairs|0.5b"
     assert p("15 B Wzeokate Hibuwu prev.") == ("preview|15b", "", "wzeokatehibuwu")
+    assert p("Mixobaru Lewasovi 8B basemodel")[0] == "base|8b" and p("Mixobaru Lewasovi 8B") == ("|8b", "", "mixobarulewasovi")
     assert p("")[2] == "" and E.grams("") == []
     assert E.parse_label("has been Trained-On (?)")[2] == "trainedon"
 
@@ -38,6 +40,19 @@ def test_found(spark):
     }
 
 
+def test_stages_come_from_the_list(spark):
+    """Stage words no code knows: a list's own last words, met in typed values in full, cut short, drawn out, misspelt."""
+    bodies = ["Fokakizu Fiqanu", "Lewasovi Hoxiwe", "Distibu Qevoma"]
+    arts = [(f"A{i}{k}", f"opalforge/{b.replace(' ', '-')}-8B-{s}", [f"{b} 8B {s}"]) for i, b in enumerate(bodies) for k, s in enumerate(["Distill", "Verifier", "Router"])]
+    ref = spark.createDataFrame(arts, REF)
+    entries = E.list_entries(ref, spark.createDataFrame([], LAB))
+    stages = E.learn_stages(entries)
+    assert stages.words == ["distill", "router", "verifier"] and stages.names == {"distibu"}
+    typed = {"fokakizu fiqanu 8b distilled": "A00", "8B_Lewasovi-Hoxiwe VERIF": "A11", "Distibu Qevoma routr 8 billion": "A22", "distibu qevoma 8b": "", "Lewasovi Hoxiwe verifiers 3B": "", "opalforge distill distibu-qevoma 8b": "A20"}
+    values = spark.createDataFrame([("artifact", v) for v in typed], "kind string, value string")
+    assert {r.value: r.ref_id for r in E.match(values, entries).collect()} == typed
+
+
 def test_hot_value_and_empty(spark):
     rel = [(f"h{i:04d}", "trained on", "Fokakizu Fiqanu 8B Chat", "manual") for i in range(300)]
     got = run(spark, rel, [])
