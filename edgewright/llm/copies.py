@@ -6,8 +6,8 @@ its rows.  The states are spread by the first bytes of their keys; a bucket abov
 states is split by further bytes until it fits or its bytes are used up, and each task counts its
 buckets in a trie over the key bytes with counters at the terminals.
 
-The table of oversized prefixes, which the driver holds, has at most depth * states / bucket_rows
-entries.
+The oversized prefixes, at most depth * states / bucket_rows, are a staged table: the prefixes of several
+lengths are counted in one pass, and the next pass looks below the oversized ones only.
 """
 
 from __future__ import annotations
@@ -19,11 +19,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgewright.llm import canon
-from edgewright.runtime import Stage
+from edgewright.operators.skew import meet
+from edgewright.runtime import Stage, small
 
 SEP = "\u001f"
 BUCKET_ROWS = 50_000
 STEP = 4
+#: Lengths of prefixes counted in one pass.
+PASS_LEVELS = 4
+#: Most oversized prefixes that are broadcast.
+PREFIX_ROWS = 200_000
 CHUNK = 8
 
 _STATES = "key string, first_id string, n long"
@@ -116,13 +121,46 @@ def _count_bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(block, columns=["key", "first_id", "n"])
 
 
-def radix_of(key: Column, oversized: list[set[str]]) -> Column:
-    """The shortest prefix (in steps) of ``key`` that is no oversized bucket."""
-    out = F.substring(key, 1, STEP * (len(oversized) + 1))
-    for level in range(len(oversized), 0, -1):
-        prefix = F.substring(key, 1, STEP * level)
-        out = F.when(prefix.isin(list(oversized[level - 1])), out).otherwise(prefix)
-    return out
+def oversized(stage: Stage, states: DataFrame, bucket_rows: int) -> tuple[list[DataFrame], int]:
+    """``(tables, levels)``: staged ``level, p, c`` of the prefixes of ``STEP * level`` letters that more than
+    ``bucket_rows`` longer keys share, and the deepest such level."""
+    tables: list[DataFrame] = []
+    part, base = states.select("key"), 0
+    while True:
+        levels = F.explode(F.transform(F.sequence(F.lit(base + 1), F.lit(base + PASS_LEVELS)), lambda i: F.struct(i.alias("level"), F.substring("key", F.lit(1), i * STEP).alias("p"), (F.length("key") > i * STEP).alias("more"))))
+        seen = part.select(levels.alias("s")).select("s.*").where(F.col("more"))
+        big = seen.groupBy("level", "p").agg(F.count("*").alias("c")).where(F.col("c") > bucket_rows).select("level", "p", "c")
+        big = stage.write(big, "oversized")
+        deepest = big.agg(F.max("level")).first()[0]
+        if deepest is None:
+            return tables, base
+        tables.append(big)
+        if deepest < base + PASS_LEVELS:
+            return tables, deepest
+        base += PASS_LEVELS
+        below = big.where(F.col("level") == base).select("p", "c")
+        part = meet(states.select("key", F.substring("key", 1, STEP * base).alias("p")), below, ["p"], "c", states.count()).select("key")
+
+
+def with_radix(stage: Stage, states: DataFrame, tables: list[DataFrame], levels: int) -> DataFrame:
+    """``states`` with ``radix``: the shortest prefix (in steps) of the key that is no oversized bucket.
+
+    Level by level the prefix is looked up in the staged table, which is broadcast if it has at most
+    ``PREFIX_ROWS`` rows and otherwise met in a shuffle with its hot prefixes split off, staged per level.
+    """
+    out = states.withColumn("radix", F.substring("key", 1, STEP)).withColumn("open", F.lit(True))
+    if not tables:
+        return out.drop("open")
+    big = tables[0]
+    for t in tables[1:]:
+        big = big.unionByName(t)
+    few, total = small(big, PREFIX_ROWS), None if not levels else states.count()
+    for level in range(1, levels + 1):
+        at = big.where(F.col("level") == level).select(F.col("p").alias("radix"), "c", F.lit(True).alias("split"))
+        out = out.join(F.broadcast(at.drop("c")), "radix", "left") if few else stage.write(meet(out, at, ["radix"], "c", total, "left"), "radix")
+        further = F.col("open") & F.col("split").isNotNull()
+        out = out.withColumn("radix", F.when(further, F.substring("key", 1, STEP * (level + 1))).otherwise(F.col("radix"))).withColumn("open", further).drop("split")
+    return out.drop("open")
 
 
 def radix_count(stage: Stage, rows: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -130,19 +168,9 @@ def radix_count(stage: Stage, rows: DataFrame, bucket_rows: int = BUCKET_ROWS) -
     number of its rows.  An empty input gives no row."""
     states = stage.write(rows.select("key", "rel_id").mapInPandas(_combine, _STATES), "states")
     total = states.count()
-    oversized: list[set[str]] = []
-    part = states
-    while total > bucket_rows:
-        level = len(oversized) + 1
-        prefix = F.substring("key", 1, STEP * level)
-        longer = F.length("key") > STEP * level
-        big = part.groupBy(prefix.alias("p")).agg(F.count("*").alias("c"), F.max(longer).alias("more")).where((F.col("c") > bucket_rows) & F.col("more")).select("p").collect()
-        if not big:
-            break
-        oversized.append({r.p for r in big})
-        part = part.where(prefix.isin(list(oversized[-1])))
+    tables, levels = oversized(stage, states, bucket_rows) if total > bucket_rows else ([], 0)
     tasks = max(1, -(-2 * total // bucket_rows))
-    spread = states.withColumn("radix", radix_of(F.col("key"), oversized)).repartition(tasks, "radix").drop("radix")
+    spread = with_radix(stage, states, tables, levels).repartition(tasks, "radix").drop("radix")
     return spread.mapInPandas(_count_bucket, _STATES)
 
 
@@ -151,9 +179,6 @@ def _ids(key: str = "key") -> list[Column]:
     return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("edge"), F.col(key)).alias("h2")]
 
 
-HEAVY_SHARE = 1000
-
-
 def first_of_each(stage: Stage, relations: DataFrame, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
     """``(groups, members)`` of the copies among ``relations``.
 
@@ -167,15 +192,9 @@ def first_of_each(stage: Stage, relations: DataFrame, bucket_rows: int = BUCKET_
     rows = stage.write(edge_rows(relations), "rows")
     groups = stage.write(radix_count(stage, rows, bucket_rows), "groups")
     total = rows.count()
-    several = groups.where("n > 1").select(*_ids(), "first_id", "n")
-    heavy = F.col("n") * HEAVY_SHARE > total
-    hot = several.where(heavy).select("h1", "h2", F.col("first_id").alias("hot_id"))
-    cold = several.where(~heavy).select("h1", "h2", F.col("first_id").alias("cold_id"))
-    keyed = rows.select("rel_id", *_ids())
-    marked = keyed.join(F.broadcast(hot), ["h1", "h2"], "left")
-    of_hot = marked.where("hot_id is not null").select(F.col("hot_id").alias("first_id"), "rel_id")
-    of_cold = marked.where("hot_id is null").select("h1", "h2", "rel_id").join(cold, ["h1", "h2"]).select(F.col("cold_id").alias("first_id"), "rel_id")
-    members = of_hot.unionByName(of_cold).where("rel_id <> first_id").groupBy("rel_id").agg(F.min("first_id").alias("first_id")).select("first_id", "rel_id")
+    several = stage.write(groups.where("n > 1").select(*_ids(), "first_id", "n"), "several")
+    met = meet(rows.select("rel_id", *_ids()), several, ["h1", "h2"], "n", total)
+    members = met.where("rel_id <> first_id").groupBy("rel_id").agg(F.min("first_id").alias("first_id")).select("first_id", "rel_id")
     return groups, members
 
 

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from edgewright.llm.canon import fold
-from edgewright.llm.copies import HEAVY_SHARE
 from edgewright.llm.history import edits
+from edgewright.operators.skew import meet
 from edgewright.runtime import Stage, small
 
 THRESHOLD = 0.2
@@ -239,7 +239,7 @@ def found(relations: DataFrame, items: DataFrame, artifacts: DataFrame, labels:
     """``field_name, row_key, ref_id`` of every manual, non-null relation, object and formal_name.
 
     A row delivered again counts once (smallest value); an empty value is unmatched; null keys are
-    left out.  Hot values, of over 1/1000 of the rows, are broadcast with their entry.
+    left out.  Hot values are split off.
     """
     stage = Stage(relations.sparkSession, "entries")
     one = relations.where("origin = 'manual' and rel_id is not null").groupBy(F.col("rel_id").cast("string").alias("row_key")).agg(F.min("relation").alias("relation"), F.min("object").alias("object"))
@@ -249,11 +249,6 @@ def found(relations: DataFrame, items: DataFrame, artifacts: DataFrame, labels:
     cells = stage.write(cells, "cells")
     values = cells.groupBy("kind", "value").agg(F.count("*").alias("n"))
     total = cells.count()
-    mapped = stage.write(match(values.select("kind", "value"), list_entries(artifacts, labels)).where("ref_id <> ''"), "mapped")
-    hot_values = values.where(F.col("n") * HEAVY_SHARE > total).select("kind", "value")
-    hot = mapped.join(F.broadcast(hot_values), ["kind", "value"], "left_semi").withColumnRenamed("ref_id", "hot")
-    cold = mapped.join(F.broadcast(hot_values), ["kind", "value"], "left_anti")
-    marked = cells.join(F.broadcast(hot_values.withColumn("is_hot", F.lit(True))), ["kind", "value"], "left")
-    a = marked.where("is_hot").join(F.broadcast(hot), ["kind", "value"], "left").select("field_name", "row_key", F.coalesce("hot", F.lit("")).alias("ref_id"))
-    b = marked.where("is_hot is null").join(cold, ["kind", "value"], "left").select("field_name", "row_key", F.coalesce("ref_id", F.lit("")).alias("ref_id"))
-    return a.unionByName(b)
+    mapped = match(values.select("kind", "value"), list_entries(artifacts, labels)).where("ref_id <> ''")
+    weighed = stage.write(mapped.join(values, ["kind", "value"]), "weighed")
+    return meet(cells, weighed, ["kind", "value"], "n", total, "left").select("field_name", "row_key", F.coalesce("ref_id", F.lit("")).alias("ref_id"))

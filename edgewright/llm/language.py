@@ -14,6 +14,7 @@ last for it.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections import Counter
@@ -24,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from edgewright.runtime import folders_in, shared_dir
+
 #: The languages and their notations (ISO 639 codes, English and own names).
 LANGUAGES = {
     "en": "en eng english",
@@ -89,7 +92,7 @@ def sentences(text: str) -> list[tuple[str, bool]]:
     """(sentence, is a heading) of the parts of ``text`` that may have a language, in text order."""
     if not text.isascii():
         text = unicodedata.normalize("NFC", text)
-    if "---" in text[:200] or "+++" in text[:200]:
+    if text.lstrip().startswith(("---", "+++")):
         text = _FRONT.sub("\n", text, count=1)
     if "```" in text or "~~~" in text:
         text = _FENCE.sub("\n", text)
@@ -364,11 +367,30 @@ class Labeller:
 _NETS: dict[int, Labeller] = {}
 
 
-def fit_on(documents: DataFrame, rows: int = FIT_ROWS) -> ByteNet:
-    """Fits on at most ``rows`` labelled documents, those of the smallest hash of doc_id."""
+def fit_on(documents: DataFrame, rows: int = FIT_ROWS, folder: str | None = None) -> ByteNet:
+    """The network fitted on at most ``rows`` labelled documents, those of the smallest hash of doc_id.
+
+    A fitted network is stored below ``folder`` (by default in the shared folder) under a digest of its sample,
+    so other queries and later runs over the same documents read it instead of training again.
+    """
+    spark = documents.sparkSession
     labelled = documents.where("text is not null and lang is not null and length(text) > 20").select("doc_id", "lang", "text")
     sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
-    return fit([(r.text, code) for r in sample if (code := label_code(r.lang))])
+    texts = [(r.text, code) for r in sample if (code := label_code(r.lang))]
+    digest = hashlib.sha256("\0".join([f"{FIT_SENTENCES} {STEPS} {WINDOW} {DIM} {FILTERS}", *(f"{c}\0{t}" for t, c in texts)]).encode("utf-8", "replace")).hexdigest()[:32]
+    folder, name = (folder or f"{shared_dir(spark)}/language-networks").rstrip("/"), f"net-{digest}"
+    net = ByteNet()
+    if name in folders_in(spark, folder, "_SUCCESS"):
+        for r in spark.read.schema(_STORED).parquet(f"{folder}/{name}").collect():
+            net.p[r.name] = np.array(r["values"], np.float32).reshape(r["shape"])
+        return net
+    net = fit(texts)
+    rows_of = [(k, list(v.shape), v.ravel().tolist()) for k, v in net.p.items()]
+    spark.createDataFrame(rows_of, _STORED).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{name}")
+    return net
+
+
+_STORED = "name string, shape array<int>, values array<float>"
 
 
 def segments(documents: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:

@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The Unicode property White_Space.
 SPACE = "\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Decided arcs kept by a worker; the table is emptied when it is full.
+ARCS_KEPT = 2_000_000
 WORDS_KEPT = 400_000
 _NEVER = 1 << 60
 #: Beyond it only private, special and unassigned code points.
@@ -102,6 +104,8 @@ class Automaton:
         """Whether s may follow t: no gadget takes the arc away."""
         known = self.arcs.get((t, s))
         if known is None:
+            if len(self.arcs) >= ARCS_KEPT:
+                self.arcs.clear()
             known = self.arcs[t, s] = self._decide(t, s)
         return known
 

@@ -54,6 +54,15 @@ def test_radix_splits_oversized_buckets(spark):
     assert got == want
 
 
+def test_radix_below_a_long_common_prefix(spark, monkeypatch):
+    """Oversized prefixes over several passes, by broadcast and by shuffle."""
+    keys = [f"{'p' * 17}{i % 3}{'q' * 3}{i:04d}" for i in range(400)]
+    rows = spark.createDataFrame([(f"r{i:04d}", k) for i, k in enumerate(keys)], "rel_id string, key string")
+    for most in (10_000, 3):
+        monkeypatch.setattr(copies, "PREFIX_ROWS", most)
+        assert {r.key: (r.first_id, r.n) for r in copies.radix_count(Stage(spark, "t"), rows, bucket_rows=30).collect()} == {k: (f"r{i:04d}", 1) for i, k in enumerate(keys)}
+
+
 def test_trie():
     t = copies.Trie()
     for k in ["", "a", "ab", "abcdefgh", "abcdefghi", "abcdefghijklmnopq", "a"]:

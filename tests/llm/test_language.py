@@ -35,6 +35,10 @@ def test_held_out_accuracy_and_segments(spark):
     found = lab.label([r.text for r in held])
     one = [(L.label_code(r.lang), f[0][0]) for r, f in zip(held, found) if len(f) == 1]
     assert sum(a == b for a, b in one) / len(one) > 0.85  # a tenth of the labels is wrong
+    sure = [(f[0][1], L.label_code(r.lang) == f[0][0]) for r, f in zip(held, found) if len(f) == 1]
+    share = lambda rows: sum(ok for _, ok in rows) / max(1, len(rows))
+    firm, weak = [x for x in sure if x[0] > 0.99], [x for x in sure if x[0] < 0.9]
+    assert share(firm) > 0.85 and (len(weak) < 5 or share(weak) < share(firm))  # the confidence tells right from wrong
     en, de = "Short answers are often better than long ones, but this is not true for mathematics.", "Die Verweise werden vor dem nächsten Hochladen berichtigt, danke für den Hinweis!"
     got = lab.label([f"{en} {en} {de}", f"{de}\n\n{en}\n\n{de}", "", None, "  \n", "```\ncode\n```", en * 400])
     assert [[c for c, _ in g] for g in got] == [["en", "de"], ["de", "en", "de"], [], [], [], [], ["en"]]
@@ -45,6 +49,18 @@ def test_frame_edge_cases(spark):
     assert L.segments(df).count() == 0 and L.found(df.limit(0)).count() == 0
 
 
+def test_a_stored_network_is_read_again(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(i, t, c) for i, (t, c) in enumerate([("This is a short text about the models.", "en"), ("Dies ist ein kurzer Text über Modelle.", "de")] * 6)], "doc_id long, text string, lang string")
+    one = L.fit_on(df, folder=f"file://{tmp_path}/nets")
+    monkeypatch.setattr(L, "fit", None)  # a second fit would fail
+    two = L.fit_on(df, folder=f"file://{tmp_path}/nets")
+    assert one.p.keys() == two.p.keys() and all((one.p[k] == two.p[k]).all() for k in one.p)
+
+
+def test_front_matter_after_many_blanks():
+    assert [L.words(s) for s, _ in L.sentences("\n" * 400 + "---\nlanguage: fr le chat\n---\nThis is it.") if L.words(s)] == ["This is it"]
+
+
 def test_script_check():
     import numpy as np
 
