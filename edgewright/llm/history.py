@@ -380,9 +380,10 @@ def _load() -> Column:
     return F.greatest(F.coalesce("load_no", F.lit(0)), F.lit(0))
 
 
-def found(sources: DataFrame, relations: DataFrame, path: str | None = None) -> DataFrame:
+def found(sources: DataFrame, relations: DataFrame, path: str | None = None, by_load: bool = False) -> DataFrame:
     """``record_kind, key_a, key_b`` of each later row that repeats an accepted one: the history
-    (load 0) is taken in first, then each later load as a batch of its own, in order.
+    (load 0) is taken in first, then the later loads as one batch or, ``by_load``, each as a batch of
+    its own, in order.
 
     Nulls identify nothing; a null load_no counts as history; ties go to the smaller key; repeats
     of a delivery count once; empty tables give no pairs; other columns are ignored.  A source delivered in
@@ -392,9 +393,14 @@ def found(sources: DataFrame, relations: DataFrame, path: str | None = None) ->
     one = h.stage.write(sources.where("id is not null").groupBy(F.col("id").cast("string").alias("id")).agg(F.min(F.struct(_load().alias("load_no"), F.coalesce("created_at", F.lit("")).alias("created_at"), "content_hash", "canonical_url")).alias("m")).select("id", "m.*"), "sources")
 
     def one_by_one(kind: str, rows: DataFrame, ingest) -> list[DataFrame]:
-        loads = sorted(r.l for r in rows.select(_load().alias("l")).distinct().collect())
-        links = [(load, ingest(rows.where(_load() == load))) for load in loads]
-        return [df.select(F.lit(kind).alias("record_kind"), "key_a", "key_b") for load, df in links if load > 0]
+        no = _load() if by_load else F.least(_load(), F.lit(1))
+        pairs = []
+        for batch in sorted(r.no for r in rows.select(no.alias("no")).distinct().collect()):
+            links = ingest(rows.where(no == batch))
+            if batch:
+                links = links.select(F.lit(kind).alias("record_kind"), "key_a", "key_b")
+                pairs.append(h.stage.write(links, "links-of-batch") if by_load else links)
+        return pairs
 
     with ThreadPoolExecutor(2) as both:  # the two kinds of records don't touch each other's tables
         jobs = [both.submit(one_by_one, "source", one, h.ingest_sources), both.submit(one_by_one, "relation", relations, h.ingest_relations)]
@@ -402,4 +408,4 @@ def found(sources: DataFrame, relations: DataFrame, path: str | None = None) ->
     out = relations.sparkSession.createDataFrame([], "record_kind string, key_a string, key_b string")
     for p in pairs:
         out = out.unionByName(p)
-    return out.distinct()
+    return out.distinct() if by_load else out

@@ -46,6 +46,7 @@ RELS = [
 def test_relations_with_misspellings(spark):
     rel = spark.createDataFrame(RELS, REL).selectExpr("*", "1 as head", "2 as b1")
     got = {tuple(r) for r in H.found(sources(spark, []), rel).collect()}
+    assert {tuple(r) for r in H.found(sources(spark, []), rel, by_load=True).collect()} == got
     assert got == {("relation", "r1", "r2"), ("relation", "r1", "r3"), ("relation", "r1", "r6"), ("relation", "ra", "rb")}
 
 
