@@ -112,7 +112,7 @@ def address_facets(c: Column) -> Column:
     pieces = F.transform(F.split(inside, ","), lambda p: strip(p))
     good = (family != "") & F.forall(pieces, lambda p: (p == "") | p.rlike(r"(?U)^[^=]*[^=\s][^=]*=.*\S.*$"))
     pairs = F.transform(F.filter(pieces, lambda p: p != ""), lambda p: F.struct(strip(F.substring_index(p, "=", 1)).alias("k"), strip(F.substring(p, F.instr(p, "=") + 1, F.length(p))).alias("v")))
-    last = F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.lit(1000)), lambda later: later["k"] == e["k"]) & (e["k"] != "family"))
+    last = F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["k"] == e["k"]) & (e["k"] != "family"))
     facets = F.array_sort(F.concat(F.array(F.concat(F.lit("family="), family)), F.transform(last, lambda e: F.concat(e["k"], F.lit("="), e["v"]))))
     return F.when(good, facets)
 

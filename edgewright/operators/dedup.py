@@ -120,7 +120,7 @@ def specs_conflict(a: dict, b: dict) -> bool:
 
 def guarded_unions(proposals: DataFrame, specs: DataFrame) -> DataFrame:
     """``name, component, refused``: greedy unions of ``proposals(component, ord, a, b)`` in order, refused
-    where the specifiers of the two components so far (``specs(name, sizes, versions, dates)``) conflict.
+    where the specifiers of the two components so far (``specs(name, sizes, versions, dates, stages)``) conflict.
 
     ``component`` is a connected component of the proposals; the fold is sequential within one.
     """
@@ -128,9 +128,9 @@ def guarded_unions(proposals: DataFrame, specs: DataFrame) -> DataFrame:
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         root: dict[str, str] = {}
         spec: dict[str, dict] = {}
-        for name, s, v, d in pdf[["a", "sa", "va", "da"]].drop_duplicates("a").values.tolist() + pdf[["b", "sb", "vb", "db"]].drop_duplicates("b").values.tolist():
+        for name, *parts in pdf[["a", "sa", "va", "da", "ta"]].drop_duplicates("a").values.tolist() + pdf[["b", "sb", "vb", "db", "tb"]].drop_duplicates("b").values.tolist():
             root.setdefault(name, name)
-            spec.setdefault(name, {"s": s, "v": v, "d": d})
+            spec.setdefault(name, dict(zip("svdt", parts)))
 
         def find(x: str) -> str:
             while root[x] != x:
@@ -152,11 +152,11 @@ def guarded_unions(proposals: DataFrame, specs: DataFrame) -> DataFrame:
         return pd.DataFrame([(n, find(n), refused) for n in sorted(root)], columns=["name", "component", "refused"])
 
     text = lambda c: F.array_join(c, ",")
-    side = lambda x: specs.select(F.col("name").alias(x), text("sizes").alias(f"s{x}"), text("versions").alias(f"v{x}"), text("dates").alias(f"d{x}"))
+    side = lambda x: specs.select(F.col("name").alias(x), text("sizes").alias(f"s{x}"), text("versions").alias(f"v{x}"), text("dates").alias(f"d{x}"), text("stages").alias(f"t{x}"))
     full = proposals.join(side("a"), "a", "left").join(side("b"), "b", "left").fillna("")
     return full.groupBy(F.col("component").alias("group")).applyInPandas(lambda pdf: fold(pdf), "name string, component string, refused int")
 
 
 def name_specs(nodes: DataFrame) -> DataFrame:
     n = F.col("name")
-    return nodes.select("name", names.sizes(n).alias("sizes"), F.filter(names.versions(n), lambda v: v.contains(".")).alias("versions"), names.dates(n).alias("dates"))
+    return nodes.select("name", names.sizes(n).alias("sizes"), F.filter(names.versions(n), lambda v: v.contains(".")).alias("versions"), names.dates(n).alias("dates"), names.stage_tokens(n).alias("stages"))

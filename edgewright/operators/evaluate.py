@@ -26,7 +26,7 @@ def pooled(c: DataFrame) -> DataFrame:
     on ties).  Pairs with an empty end are left out."""
     one = c.where("subject <> '' and object <> ''").withColumn("len", F.length(F.coalesce("description", F.lit(""))))
     ordinal = F.struct((-F.col("len")).alias("l"), "cluster_id", "ord")
-    return one.groupBy("target", "subject", "object").agg(F.count("*").alias("n_claims"), F.countDistinct("system").alias("n_systems"), F.min_by("description", ordinal).alias("description"))
+    return one.groupBy("target", "subject", "object").agg(F.count("*").alias("n_claims"), F.countDistinct("system").alias("n_systems"), F.array_join(F.array_sort(F.collect_set("system")), "|").alias("systems"), F.min_by("description", ordinal).alias("description"))
 
 
 def verdicts_of(clusters: DataFrame) -> DataFrame:
@@ -46,7 +46,8 @@ def precision(c: DataFrame, verdicts: DataFrame, systems: DataFrame, by_target:
     out = per.groupBy(*keys).agg(n("verified"), n("refuted"), n("unclear"), n("error"))
     if not by_target:
         out = systems.select("system").distinct().join(out, "system", "left").fillna(0)
-    return out.withColumn("decided", F.col("verified") + F.col("refuted"))
+    decided = F.col("verified") + F.col("refuted")
+    return out.withColumn("decided", decided).withColumn("precision", F.when(decided > 0, F.round(F.col("verified") / decided, 9)))
 
 
 def pending(clusters: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -55,7 +56,7 @@ def pending(clusters: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 def audit_totals(verdicts: DataFrame) -> DataFrame:
     n = lambda v: F.sum((F.col("verdict") == v).cast("long")).alias(v)
-    return verdicts.agg(F.count("*").alias("total"), n("verified"), n("refuted"), n("unclear"))
+    return verdicts.agg(F.count("*").alias("total"), n("verified"), n("refuted"), n("unclear"), n("error")).withColumn("decisive", F.col("verified") + F.col("refuted")).withColumn("precision", F.when(F.col("decisive") > 0, F.round(F.col("verified") / F.col("decisive"), 9)))
 
 
 def resolved(mentions: DataFrame, entries: DataFrame, top: int = 3, floor: float = 50.0) -> DataFrame:

@@ -11,6 +11,7 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgewright.operators.skew import meet
 from edgewright.runtime import Stage
 
 #: Relations that lead upstream, and expansion weights.
@@ -41,25 +42,48 @@ def ancestors(e: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> D
 def components(e: DataFrame) -> DataFrame:
     """``node, component``: the smallest node name of its undirected component.
 
-    Labels spread over the edges and jump to the label of their label in every round, so the rounds
-    grow with the logarithm of the diameter on chains.
+    Contraction: each node points to its smallest neighbour if that is smaller, pointers jump until they
+    reach a node that points nowhere, and the links between those make the next, smaller graph; at the end
+    the maps of the rounds are composed.  Lookups go by one row per key with its number of rows, so hubs and
+    giant components are split off.  Rows of a null end count for the other end only.
     """
     stage = Stage(e.sparkSession, "components")
     both = e.select(F.col("subject").alias("a"), F.col("object").alias("b")).where("a <> b")
     links = stage.write(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    nodes = e.select(F.explode(F.array("subject", "object")).alias("node")).distinct()
-    labels = stage.write(nodes.select("node", F.col("node").alias("label")), "labels")
+    nodes = e.select(F.explode(F.array("subject", "object")).alias("node")).where("node is not null").distinct()
+    maps: list[DataFrame] = []
+    n = links.count()
+    while n:
+        own = stage.write(links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("w")).select("a", F.least("a", "m").alias("p"), "w"), "own")
+        roots = _rooted(stage, own.select("a", "p"))
+        maps.append(roots)
+        ends = stage.write(roots.join(own.select("a", "w"), "a"), "ends")
+        near = stage.write(meet(links, ends.select("a", F.col("p").alias("x"), "w"), ["a"], "w", n).select("b", "x"), "near")
+        far = meet(near, ends.select(F.col("a").alias("b"), F.col("p").alias("y"), "w"), ["b"], "w", n)
+        smaller = stage.write(far.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links")
+        stage.drop(links, own, ends, near)
+        links, n = smaller, smaller.count()
+    if not maps:
+        return nodes.select("node", F.col("node").alias("component"))
+    whole = maps[-1]
+    for m in reversed(maps[:-1]):
+        told = m.groupBy("p").agg(F.count("*").alias("w")).join(whole.select(F.col("a").alias("p"), F.col("p").alias("top")), "p")
+        whole = stage.write(meet(m, stage.write(told, "told"), ["p"], "w", m.count(), "left").select("a", F.coalesce("top", "p").alias("p")), "whole")
+    return nodes.join(whole.select(F.col("a").alias("node"), "p"), "node", "left").select("node", F.coalesce("p", "node").alias("component"))
+
+
+def _rooted(stage: Stage, pointers: DataFrame) -> DataFrame:
+    """``a, p`` with every pointer at a node that points to itself; jumps double the distance."""
+    p = stage.write(pointers, "pointers")
+    n = p.count()
     while True:
-        told = links.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("told"))
-        near = labels.join(told, "node", "left").select("node", "label", F.least("label", "told").alias("new"))
-        jump = labels.select(F.col("node").alias("new"), F.col("label").alias("far"))
-        new = stage.write(near.join(jump, "new", "left").select("node", F.least("new", "far").alias("label"), (F.least("new", "far") < F.col("label")).alias("moved")), "labels")
-        again = not new.where("moved").isEmpty()
-        stage.drop(labels)
-        labels = new.select("node", "label")
-        labels._edgewright_path = getattr(new, "_edgewright_path", None)
-        if not again:
-            return labels.withColumnRenamed("label", "component")
+        up = p.groupBy("p").agg(F.count("*").alias("w")).join(p.select(F.col("a").alias("p"), F.col("p").alias("far")), "p").where("far < p")
+        up = stage.write(up.select("p", "far", "w"), "up")
+        if up.isEmpty():
+            return p
+        new = stage.write(meet(p, up, ["p"], "w", n, "left").select("a", F.coalesce("far", "p").alias("p")), "pointers")
+        stage.drop(p, up)
+        p = new
 
 
 def degrees(e: DataFrame) -> DataFrame:
@@ -76,8 +100,8 @@ def edge_scores(e: DataFrame) -> DataFrame:
     weight = F.lit(1)
     for r, w in WEIGHTS.items():
         weight = F.when(F.col("relation") == r, w).otherwise(weight)
-    n = F.coalesce(F.size(F.filter("anchor_list", lambda a: a.isNotNull())), F.lit(0))
-    return e.withColumn("score", weight + F.when(F.lower("dependency_kind") == "direct", 2).otherwise(0) + F.least(n, F.lit(3)))
+    n = F.coalesce(F.size("anchor_list"), F.lit(0))
+    return e.withColumn("score", weight + F.when(F.col("dependency_kind") == "direct", 2).otherwise(0) + F.least(n, F.lit(3)))
 
 
 def ego_expansion(e: DataFrame, seeds: DataFrame, rounds: int, budget: int) -> DataFrame:
@@ -125,12 +149,33 @@ def visible_edges(e: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
 
 def expansion_picks(e: DataFrame, expanded: DataFrame, strategy: str, top: int) -> DataFrame:
     """``node, votes``: what to expand next, the upstream nodes of ``expanded(node)`` not expanded yet by
-    edges that lead to them: the first ``top`` for bfs and beam, one for dfs; ties by name."""
+    edges that lead to them: the first ``top`` for bfs, one for dfs; ties by name.  For beam see :func:`beam`."""
     up = e.where(F.col("relation").isin(*UPSTREAM)).join(expanded.select(F.col("node").alias("subject")), "subject", "left_semi")
     votes = up.groupBy(F.col("object").alias("node")).agg(F.count("*").alias("votes")).join(expanded.select("node"), "node", "left_anti")
     return votes.orderBy(F.desc("votes"), "node").limit(1 if strategy == "dfs" else top)
 
 
+def beam(e: DataFrame, seeds: DataFrame, width: int, rounds: int) -> DataFrame:
+    """``round, node, votes``: what a beam search expands in each round from ``seeds(node)``.
+
+    A node gains a vote for each edge, of any relation, from a node expanded by then, in every round anew; votes add up over
+    the rounds, and the ``width`` nodes of most votes not expanded yet are next (ties by name).
+    """
+    stage = Stage(e.sparkSession, "beam")
+    arcs = stage.write(e.where("subject <> '' and object <> ''").groupBy("subject", "object").agg(F.count("*").alias("n")), "arcs")
+    expanded = stage.write(seeds.select("node").distinct(), "expanded")
+    history, out = None, None
+    for r in range(1, rounds + 1):
+        seen = arcs.join(expanded.withColumnRenamed("node", "subject"), "subject", "left_semi").groupBy(F.col("object").alias("node")).agg(F.sum("n").alias("votes"))
+        seen = seen.join(expanded, "node", "left_anti")
+        history = seen if history is None else history.unionByName(seen).groupBy("node").agg(F.sum("votes").alias("votes"))
+        history = stage.write(history, "votes")
+        picked = stage.write(history.join(expanded, "node", "left_anti").orderBy(F.desc("votes"), "node").limit(width).select(F.lit(r).alias("round"), "node", "votes"), "picked")
+        out = picked if out is None else out.unionByName(picked)
+        expanded = stage.write(expanded.unionByName(picked.select("node")), "expanded")
+    return out
+
+
 def ranked_hub_edges(e: DataFrame, hubs: DataFrame, cap: int = 200, batch: int = 40, side: str = "subject") -> DataFrame:
     """``hub, rel_id, batch_no``: the edges with a hub as ``side``, by anchors (most first), then ordinal, up to
     ``cap`` a hub, in batches."""

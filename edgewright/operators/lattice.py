@@ -133,10 +133,45 @@ def has_unique_link() -> Column:
     return F.coalesce(F.exists("links", lambda x: x["kind"].isin(*UNIQUE_LINKS) & (F.trim(x["url"]) != "")), F.lit(False))
 
 
+def _bare_domain(url: Column) -> Column:
+    """A URL of scheme and host only."""
+    return F.coalesce(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/*([?#].*)?$"), F.lit(False))
+
+
+#: Link kinds that make an item a released artifact, or a concept.
+CANONICAL_LINKS, CONCEPT_LINKS = ("hf_model", "hf_dataset", "github"), ("paper", "blog", "vendor_docs", "hf_collection")
+
+
 def item_role() -> Column:
-    """family-root, unanchored, concept, canonical or other."""
-    n_links = F.coalesce(F.size("links"), F.lit(0))
-    return F.when(F.size(own_facets()) == 0, "family-root").when(n_links == 0, "unanchored").when(has_unique_link(), "canonical").when(n_links > 0, "concept").otherwise("other")
+    """family-root, unanchored, concept, canonical or other, by the facet keys and the first link."""
+    first = F.get("links", F.lit(0))
+    keys = F.array_distinct(F.transform(F.filter("identity", lambda e: e.isNotNull()), lambda e: e["k"]))
+    kind = F.coalesce(first["kind"], F.lit(""))
+    by_kind = F.when(kind.isin(*CANONICAL_LINKS), "canonical").when(kind.isin(*CONCEPT_LINKS), "concept").otherwise("other")
+    return F.when((F.size(keys) == 1) & (keys[0] == "family"), "family-root").when(kind == "", "unanchored").when(_bare_domain(first["url"]), "concept").otherwise(by_kind)
+
+
+def item_roles(lattice: DataFrame) -> DataFrame:
+    return items_of(lattice).select("item_id", item_role().alias("role"))
+
+
+def rebuilt(lattice: DataFrame, canon: DataFrame) -> DataFrame:
+    """One item per canonical name (``canon(name, canonical)``; unknown names stay, names mapped to null go): the item of that
+    very name, else the first, with the number of items it stands for."""
+    it = items_of(lattice).where("formal_name <> ''").join(canon.select(F.col("name").alias("formal_name"), "canonical", F.lit(True).alias("known")), "formal_name", "left")
+    it = it.withColumn("name", F.when(F.col("known"), F.col("canonical")).otherwise(F.col("formal_name"))).where("name <> ''")
+    order = F.struct((F.col("formal_name") != F.col("name")).alias("other"), "item_id")
+    taken = F.min_by(F.struct("item_id", "family", "kind"), order).alias("i")
+    return it.groupBy("name").agg(taken, F.count("*").alias("alias_count")).select("name", "i.item_id", "i.family", "i.kind", "alias_count")
+
+
+def name_variants(c: Column) -> Column:
+    """The forms under which a name may stand in a list of subsets: its slug without, with other or with spelled-out marks, and
+    its alphanumeric form; distinct, none empty."""
+    s = names.slug(c)
+    swap = lambda x, a, b: F.replace(x, F.lit(a), F.lit(b))
+    forms = [s, swap(s, "-", ""), swap(s, "-", "_"), swap(s, "+", "plus"), swap(s, "+", "-plus"), names.alnum_form(names.strip(c)), swap(swap(s, "-", ""), "+", "plus"), swap(swap(s, "-", "_"), "+", "plus")]
+    return F.array_distinct(F.filter(F.array(*forms), lambda f: f != ""))
 
 
 # -- edges over the lattice --------------------------------------------------------------------
@@ -148,7 +183,7 @@ def endpoint_identities(e: DataFrame, lattice: DataFrame) -> DataFrame:
     address = names.address_facets(F.col("name"))
     met = ends.join(by_name, ends.name == by_name.formal_name, "left").withColumn("facets", F.coalesce("i.facets", address)).where("facets is not null")
     family = F.get(F.filter("facets", lambda f: f.startswith("family=")), F.lit(0))
-    return met.select("name", F.coalesce(F.substring(family, 8, 100_000), F.lit("")).alias("family"), "facets")
+    return met.select("name", F.coalesce(F.substring(family, F.lit(8), F.length(family)), F.lit("")).alias("family"), "facets")
 
 
 def identified_edges(e: DataFrame, identities: DataFrame) -> DataFrame:
@@ -161,6 +196,12 @@ def _classes(edges: DataFrame) -> DataFrame:
     return edges.groupBy("relation", "kind", "s_family", "o_family", "s_facets", "o_facets").agg(F.min("rel_id").alias("first_id"), F.count("*").alias("n"))
 
 
+def class_members(edges: DataFrame) -> DataFrame:
+    """``class_id, rel_id``: each edge and the first edge of its identities, relation and kind."""
+    at = ["relation", "kind", "s_family", "o_family", "s_facets", "o_facets"]
+    return edges.select("rel_id", *at).join(edges.groupBy(*at).agg(F.min("rel_id").alias("class_id")), at).select("class_id", "rel_id")
+
+
 def edge_subsumption(edges: DataFrame) -> DataFrame:
     """``general_id, specific_id`` between classes of edges with equal identities: same relation and kind,
     the general one's facets within the specific one's at both ends, not both equal.
@@ -210,21 +251,36 @@ def hints(lattice: DataFrame) -> DataFrame:
     same_url = row(same, "same_url_duplicate", F.col("url"))
     over_families = urls.where(F.col("kind").isin(*UNIQUE_LINKS)).groupBy("url").agg(F.min("item_id").alias("item_id"), F.countDistinct("family").alias("n"), F.min("family").alias("family")).where("n > 1")
     cross_url = row(over_families, "same_url_cross_family", F.col("url"))
-    anchored = row(it.where(F.coalesce(F.size("subsets"), F.lit(0)) > 0).where(has_unique_link()), "subset_with_anchor", F.size("subsets").cast("string"))
+    inside = subsumed_pairs(it).join(it.where(F.size(own_facets()) > 0).select(F.col("item_id").alias("parent_id"), has_unique_link().alias("held")), "parent_id")
+    partial = inside.select(F.when(F.col("held"), "subset_with_anchor").otherwise("concept_subsumed_candidate").alias("hint"), "family", F.col("parent_id").alias("item_id"), F.col("child_id").cast("string").alias("detail"))
+    path = F.regexp_extract(F.col("first.url"), r"huggingface\.co/(?:datasets/)?([^/]+/[^/?#]+)", 1)
+    primary = it.select("family", "item_id", "formal_name", F.get("links", F.lit(0)).alias("first")).where("first.kind in ('hf_model', 'hf_dataset')").withColumn("path", path)
+    mismatch = row(primary.where((F.col("path") != "") & (F.lower("path") != F.lower(F.coalesce("formal_name", F.lit(""))))), "formal_name_vs_canonical_url_mismatch", F.col("path"))
     out = phantom
-    for more in (collision, branch, no_root, cross, no_entity, over, same_url, cross_url, anchored):
+    for more in (collision, branch, no_root, cross, no_entity, over, same_url, cross_url, partial, mismatch):
         out = out.unionByName(more)
     return out
 
 
 def name_matches_subset(lattice: DataFrame) -> DataFrame:
-    """``item_id, parent_id``: items of which a name, without its organisation and as a slug, is a subset of another item."""
+    """``item_id, parent_id``: items of which a form of the name or of an alias is a subset of another item, as written or in
+    its alphanumeric form."""
     it = items_of(lattice)
-    own = it.select("item_id", F.explode(F.array(names.slug(F.col("formal_name")), names.slug(names.bare(F.col("formal_name"))))).alias("s")).where("s <> ''").distinct()
-    sub = it.select(F.col("item_id").alias("parent_id"), F.explode("subsets").alias("x")).select("parent_id", names.slug(F.col("x")).alias("s")).where("s <> ''").distinct()
+    own = it.select("item_id", F.explode(F.concat(F.array("formal_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n"))
+    own = own.select("item_id", F.explode(name_variants(F.col("n"))).alias("s")).distinct()
+    sub = it.select(F.col("item_id").alias("parent_id"), F.explode("subsets").alias("x")).select("parent_id", F.explode(F.array("x", names.alnum_form(F.col("x")))).alias("s")).where("s <> ''").distinct()
     return own.join(sub, "s").where("item_id <> parent_id").select("item_id", "parent_id").distinct()
 
 
+def invented_root_aliases(lattice: DataFrame, piled: DataFrame) -> DataFrame:
+    """``item_id, family``: root items none of whose aliases is one of the names ``piled(name)`` the lattice was made from."""
+    it = items_of(lattice)
+    keys = F.array_distinct(F.transform(F.filter("identity", lambda e: e.isNotNull()), lambda e: e["k"]))
+    roots = it.where((F.size(keys) == 1) & (keys[0] == "family")).select("item_id", "family", "aliases")
+    known = roots.select("item_id", F.explode("aliases").alias("name")).join(piled.select("name").distinct(), "name", "left_semi").select("item_id").distinct()
+    return roots.join(known, "item_id", "left_anti").select("item_id", "family")
+
+
 def violations(lattice: DataFrame, link_vocabulary: tuple[str, ...]) -> DataFrame:
     """``item_id, rule`` of every broken lattice rule (all of them, not the first)."""
     it = lattice.where("identity is not null").dropDuplicates(["item_id"])

@@ -11,14 +11,25 @@ from edgewright.runtime import Stage
 
 
 def reconciled(e: DataFrame, items: DataFrame) -> DataFrame:
-    """Corroborated edges, each with the edge that subsumes it (the last more specific one) and how many
-    it subsumes.  ``first_id`` is the edge's ordinal; edges off the lattice subsume nothing."""
+    """Corroborated edges, each with the edge that subsumes it (the last more specific one), how many
+    it subsumes, and in ``inherited`` the distinct anchors of those, sorted.  ``first_id`` is the edge's ordinal; edges off the lattice subsume nothing.
+
+    Edges of equal identities form a class, known by its first edge, which stands for it in ``subsumed_by`` and the counts.
+    """
+    stage = Stage(e.sparkSession, "reconcile")
     merged = edges.corroborated(e)
     full = lattice.identified_edges(e, lattice.endpoint_identities(e, items))
-    pairs = lattice.edge_subsumption(full)
+    pairs = stage.write(lattice.edge_subsumption(full), "pairs")
     over = pairs.groupBy(F.col("general_id").alias("first_id")).agg(F.max("specific_id").alias("subsumed_by"))
     under = pairs.groupBy(F.col("specific_id").alias("first_id")).agg(F.count("*").alias("n_subsumes"))
-    return merged.join(over, "first_id", "left").join(under, "first_id", "left").select("first_id", "subject", "relation", "dependency_kind", "object", "corroboration", "n_variants", "subsumed_by", F.coalesce("n_subsumes", F.lit(0)).alias("n_subsumes"))
+    general = lattice.class_members(full).join(pairs.select(F.col("general_id").alias("class_id")).distinct(), "class_id", "left_semi")
+    own = general.join(e.select("rel_id", F.explode(edges.anchors()).alias("a")), "rel_id").select("class_id", "a").distinct()
+    passed = pairs.join(own, F.col("general_id") == F.col("class_id")).groupBy(F.col("specific_id").alias("first_id")).agg(F.array_sort(F.collect_set("a")).alias("inherited"))
+    out = merged
+    for more in (over, under, passed):
+        out = out.join(more, "first_id", "left")
+    none = F.array().cast(out.schema["anchor_list"].dataType)
+    return out.select("first_id", "subject", "relation", "dependency_kind", "object", "description", "variants", "anchor_list", "loads", "corroboration", "subsumed_by", F.coalesce("n_subsumes", F.lit(0)).alias("n_subsumes"), F.coalesce("inherited", none).alias("inherited"))
 
 
 def canonical_map(nodes: DataFrame) -> DataFrame:

@@ -46,6 +46,12 @@ def expansion_picks(spark, d):
     return graph.expansion_picks(e, edges.hubs(e, "subject", 10).select("node"), "bfs", 5)
 
 
+def expansion_beam(spark, d):
+    """Two rounds of a beam of five from the ten greatest subjects."""
+    e = _edges(spark, d)
+    return graph.beam(e, edges.hubs(e, "subject", 10).select("node"), 5, 2)
+
+
 def hub_batches(spark, d):
     e = _edges(spark, d)
     return graph.ranked_hub_edges(e, edges.hubs(e, "subject", 75))
@@ -126,7 +132,7 @@ def _table(f, name):
 
 QUERIES = {
     "ancestors_bfs": ancestors_bfs, "connected_components": connected_components, "ego_expand": ego_expand, "degree_prune": degree_prune, "visible_graph": visible_graph,
-    "expansion_picks": expansion_picks, "hub_batches": hub_batches, "hub_audit_batches": hub_audit_batches, "guarded_union": guarded_union,
+    "expansion_picks": expansion_picks, "expansion_beam": expansion_beam, "hub_batches": hub_batches, "hub_audit_batches": hub_audit_batches, "guarded_union": guarded_union,
     "signature_buckets": _nodes(dedup.signature_buckets), "affix_match": _nodes(dedup.affix_pairs), "suffix_pairs": _nodes(dedup.suffix_pairs), "cross_org_names": _nodes(dedup.cross_org_names), "jaccard_candidates": _nodes(dedup.token_pairs),
     "pool_clusters": pool_clusters, "system_precision": system_precision, "system_precision_by_target": system_precision_by_target, "pending_work": pending_work, "audit_totals": audit_totals, "resolve_topk": resolve_topk, "resolve_candidates": resolve_candidates,
     "source_ledger": _table(ledger.url_ledger, "sources"), "content_ledger": _table(ledger.content_ledger, "sources"), "batch_fingerprint": _table(ledger.batch_fingerprints, "sources"), "names_packet": _table(ledger.names_packet, "merge_relations"),
@@ -141,7 +147,7 @@ _LX = f"{_NODES}, lx as (select name, degree, regexp_replace(lower({_BAREX}), '[
 _CLAIMS = f"""m as (select cluster_id, target, m.member_no as ord, m.system as system, lower(trim(m.subject)) as s, lower(trim(m.object)) as o, m.description as description from (select distinct on (cluster_id) * from claim_clusters) c, unnest(members) u(m)),
 cl as (select cluster_id, target, ord, system, {_CANON.format('s')} as subject, {_CANON.format('o')} as object, description from m),
 vd as (select cluster_id, target, case when count(distinct system) >= 2 then 'verified' when max(length(coalesce(description, ''))) > 80 then 'refuted' else 'unclear' end as verdict from cl group by 1, 2)"""
-_COUNTS = "count(*) filter (where verdict = 'verified') as verified, count(*) filter (where verdict = 'refuted') as refuted, count(*) filter (where verdict = 'unclear') as unclear, count(*) filter (where verdict = 'error') as error, count(*) filter (where verdict in ('verified', 'refuted')) as decided"
+_COUNTS = "count(*) filter (where verdict = 'verified') as verified, count(*) filter (where verdict = 'refuted') as refuted, count(*) filter (where verdict = 'unclear') as unclear, count(*) filter (where verdict = 'error') as error, count(*) filter (where verdict in ('verified', 'refuted')) as decided, round(count(*) filter (where verdict = 'verified') / nullif(count(*) filter (where verdict in ('verified', 'refuted')), 0)::double, 9) as precision"
 _W = "case relation " + " ".join(f"when '{r}' then {w}" for r, w in graph.WEIGHTS.items()) + " else 1 end"
 
 ORACLE = {
@@ -154,6 +160,10 @@ cc(node, component) using key (node) as (select distinct node, node from ends un
 main as (select component from cc group by 1 order by count(*) desc, 1 limit 1) select rel_id from edges where lower(dependency_kind) = 'direct' and subject in (select node from cc where component in (select component from main))""",
     "degree_prune": f"with {EDGES}, {ENDS}, k as (select node from ends group by 1 having count(*) >= 3) select rel_id, subject, object from edges where subject in (select node from k) and object in (select node from k)",
     "expansion_picks": f"with {EDGES}, x as (select subject as node from edges group by 1 order by count(*) desc, 1 limit 10) select object as node, count(*) as votes from edges where {_UP} and subject in (select node from x) and object not in (select node from x) group by 1 order by 2 desc, 1 limit 5",
+    "expansion_beam": f"""with {EDGES}, x1 as (select subject as node from edges group by 1 order by count(*) desc, 1 limit 10),
+v1 as (select object as node, count(*) as v from edges where subject in (select node from x1) and object not in (select node from x1) group by 1), p1 as (select node, v from v1 order by 2 desc, 1 limit 5), x2 as (select node from x1 union all select node from p1),
+v2 as (select node, sum(v)::bigint as v from (select * from v1 union all select object, count(*) from edges where subject in (select node from x2) and object not in (select node from x2) group by 1) group by 1),
+p2 as (select node, v from v2 where node not in (select node from x2) order by 2 desc, 1 limit 5) select 1 as round, node, v as votes from p1 union all select 2, node, v from p2""",
     "hub_batches": f"with {EDGES}, h as (select subject from edges group by 1 order by count(*) desc, 1 limit 75), r as (select subject as hub, rel_id, row_number() over (partition by subject order by coalesce(len(anchor_list), 0) desc, rel_id) as r from edges where subject in (select subject from h)) select hub, rel_id, ((r - 1) // 40)::int as batch_no from r where r <= 200",
     "affix_match": f"with {_LX} select distinct a.name as bare_name, b.name as full_name from lx a join lx b on a.org = '' and b.org <> '' and length(a.lex) >= 4 and (starts_with(b.lex, a.lex) or ends_with(b.lex, a.lex))",
     "suffix_pairs": f"with {_NODES}, c as (select name, case {' '.join(f'''when ends_with(name, '{s}') then left(name, length(name) - {len(s)})''' for s in dedup.SUFFIXES)} end as stripped from nodes) select name, stripped from c where stripped <> '' and stripped in (select name from nodes)",
@@ -161,11 +171,11 @@ main as (select component from cc group by 1 order by count(*) desc, 1 limit 1)
     "jaccard_candidates": rf"""with {_NODES}, t as (select name, list_distinct(list_filter(regexp_split_to_array(lower(name), '[\s\-_/.\[\](),=:]+'), lambda x: length(x) > 1)) as ts from nodes), l as (select name, unnest(ts) as token from t),
 r as (select token from l group by 1 having count(*) between 2 and 200), f as (select l.name, l.token from l join r using (token)), p as (select a.name as a, b.name as b from f a join f b on a.token = b.token and a.name < b.name group by 1, 2 having count(*) >= 2),
 j as (select a, b, len(list_intersect(x.ts, y.ts)) as n_shared, len(list_distinct(list_concat(x.ts, y.ts))) as n_union from p join t x on x.name = a join t y on y.name = b) select * from j where n_shared >= 0.6 * n_union""",
-    "pool_clusters": f"with {_CLAIMS} select target, subject, object, count(*) as n_claims, count(distinct system) as n_systems, first(description order by length(coalesce(description, '')) desc, cluster_id, ord) as description from cl where subject <> '' and object <> '' group by 1, 2, 3",
-    "system_precision": f"with {_CLAIMS}, p as (select distinct cluster_id, system from cl where system is not null), g as (select system, {_COUNTS} from p join vd using (cluster_id) group by 1) select s.system, coalesce(verified, 0) as verified, coalesce(refuted, 0) as refuted, coalesce(unclear, 0) as unclear, coalesce(error, 0) as error, coalesce(decided, 0) as decided from (select distinct system from eval_systems) s left join g using (system)",
+    "pool_clusters": f"with {_CLAIMS} select target, subject, object, count(*) as n_claims, count(distinct system) as n_systems, coalesce(array_to_string(list_sort(list(distinct system) filter (where system is not null)), '|'), '') as systems, first(description order by length(coalesce(description, '')) desc, cluster_id, ord) as description from cl where subject <> '' and object <> '' group by 1, 2, 3",
+    "system_precision": f"with {_CLAIMS}, p as (select distinct cluster_id, system from cl where system is not null), g as (select system, {_COUNTS} from p join vd using (cluster_id) group by 1) select s.system, coalesce(verified, 0) as verified, coalesce(refuted, 0) as refuted, coalesce(unclear, 0) as unclear, coalesce(error, 0) as error, coalesce(decided, 0) as decided, precision from (select distinct system from eval_systems) s left join g using (system)",
     "system_precision_by_target": f"with {_CLAIMS}, p as (select distinct cluster_id, system from cl where system is not null) select system, target, {_COUNTS} from p join vd using (cluster_id) group by 1, 2",
     "pending_work": f"with {_CLAIMS} select cluster_id, target from claim_clusters where cluster_id not in (select cluster_id from vd where verdict <> 'unclear')",
-    "audit_totals": f"with {_CLAIMS} select count(*) as total, count(*) filter (where verdict = 'verified') as verified, count(*) filter (where verdict = 'refuted') as refuted, count(*) filter (where verdict = 'unclear') as unclear from vd",
+    "audit_totals": f"with {_CLAIMS} select count(*) as total, count(*) filter (where verdict = 'verified') as verified, count(*) filter (where verdict = 'refuted') as refuted, count(*) filter (where verdict = 'unclear') as unclear, count(*) filter (where verdict = 'error') as error, count(*) filter (where verdict in ('verified', 'refuted')) as decisive, round(count(*) filter (where verdict = 'verified') / nullif(count(*) filter (where verdict in ('verified', 'refuted')), 0)::double, 9) as precision from vd",
     "resolve_topk": r"""with m as (select distinct object as mention from merge_relations where object is not null), mt as (select mention, regexp_replace(replace(lower(mention), '+', 'plus'), '[^a-z0-9]', '', 'g') as form, list_distinct(list_filter(regexp_split_to_array(lower(mention), '[/_\-. ]+'), lambda t: t <> '')) as ts from m),
 e as (select distinct ref_id as entry_id, unnest(list_concat([formal_name], coalesce(aliases, []))) as surface from ref_artifacts), et as (select entry_id, regexp_replace(replace(lower(surface), '+', 'plus'), '[^a-z0-9]', '', 'g') as form, list_distinct(list_filter(regexp_split_to_array(lower(surface), '[/_\-. ]+'), lambda t: t <> '')) as es from e),
 s as (select mention, entry_id, max(100.0::double + 10 * len(list_intersect(ts, es)) / len(ts)::double + 5 * len(list_intersect(ts, es)) / greatest(len(es), 1)::double) as score from mt join et using (form) where len(ts) > 0 group by 1, 2),

@@ -52,7 +52,7 @@ def latest_runs(runs: DataFrame) -> DataFrame:
 
 def run_counters(runs: DataFrame) -> DataFrame:
     """Edge counts of the run attributes per stage; attributes that are no JSON count as none."""
-    n = F.try_to_number(F.get_json_object("attrs", "$.edge_count"), F.lit("999999999")).cast("long")
+    n = F.expr("try_cast(get_json_object(attrs, '$.edge_count') as bigint)")
     return runs.dropDuplicates(["id"]).groupBy("stage").agg(F.count("*").alias("n_runs"), F.sum(n).alias("edges"), F.count(n).alias("with_edges"))
 
 

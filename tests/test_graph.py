@@ -29,6 +29,14 @@ def test_components_against_union_find(spark):
     assert got == {n: find(n) for n in root}
 
 
+def test_components_with_a_hub_and_a_shuffled_chain(spark):
+    order = list(range(120))
+    random.Random(8).shuffle(order)
+    pairs = [("hub", "r", f"h{i:04d}") for i in range(1500)] + [(f"z{a:03d}", "r", f"z{b:03d}") for a, b in zip(order, order[1:])] + [("lone", "r", "lone")]
+    got = {r.node: r.component for r in graph.components(table(spark, pairs)).collect()}
+    assert got["hub"] == got["h1499"] == "h0000" and {got[f"z{i:03d}"] for i in order} == {"z000"} and got["lone"] == "lone"
+
+
 def test_components_empty(spark):
     assert graph.components(table(spark, [])).count() == 0
 
@@ -49,6 +57,39 @@ def test_ancestors_with_cycle(spark):
     assert got == {("s", 0), ("a", 1), ("b", 2)}
 
 
+def test_beam_adds_votes_up(spark):
+    e = table(spark, [("s", "r", "a"), ("s", "q", "a"), ("s", "r", "b"), ("a", "r", "c"), ("a", "r", "b"), ("b", "r", "d")])
+    got = {(r.round, r.node, r.votes) for r in graph.beam(e, spark.createDataFrame([("s",)], "node string"), 1, 3).collect()}
+    assert got == {(1, "a", 2), (2, "b", 3), (3, "c", 2)}  # b: 1 vote in the first round, 2 in the second
+
+
+def test_unions_keep_stages_apart(spark):
+    nodes = spark.createDataFrame([("Foo", 1), ("o/Foo-Base", 1), ("o/Foo-Instruct", 1)], "name string, degree long")
+    prop = spark.createDataFrame([("c", "1", "Foo", "o/Foo-Base"), ("c", "2", "Foo", "o/Foo-Instruct")], "component string, ord string, a string, b string")
+    got = {r.name: (r.component, r.refused) for r in dedup.guarded_unions(prop, dedup.name_specs(nodes)).collect()}
+    assert got == {"Foo": ("Foo", 1), "o/Foo-Base": ("Foo", 1), "o/Foo-Instruct": ("o/Foo-Instruct", 1)}
+
+
+def test_evidence_of_merged_edges(spark):
+    a = lambda i: (f"s{i}", None, None, f"x{i}")
+    rows = [
+        ("r1", 2, "s", "r", "direct", "o", "one", [a(1), None]), ("r2", 0, "s", "r", "direct", "o", "two", [a(2)]), ("r3", 2, "s", "r", "direct", "o", "one", None), ("r4", 1, "s", "r", "indirect", "o", "three", [a(1), a(3)]),
+        ("r5", 0, "t", "r", None, "o", None, []), ("r6", None, "t", "r", None, "o", "late", [a(4)]), ("r7", 0, "s", "r", "direct", "o", "two", [a(5)]),
+    ]
+    e = spark.createDataFrame(rows, EDGE)
+    c = {r.first_id: r for r in edges.corroborated(e).collect()}
+    src = lambda r: [x.source for x in r.anchor_list]
+    assert (c["r1"].description, c["r1"].variants, src(c["r1"]), c["r1"].loads, c["r1"].corroboration) == ("one", ["two"], ["s1", "s2", "s5"], [0, 2], 4)
+    assert c["r5"].description is None and c["r5"].variants == [] and src(c["r5"]) == ["s4"]
+    m = {r.first_id: r for r in edges.merged_relations(e).collect()}
+    assert (m["r1"].dependency_kind, m["r1"].variants, src(m["r1"])) == ("direct", ["one", "two", "three"], ["s1", "s2", "s1", "s3", "s5"])
+    assert {(r.n_variants, tuple(r.variants)) for r in edges.description_conflicts(e).collect()} == {(2, ("one", "two")), (3, ("one", "two", "three"))}
+    canon = spark.createDataFrame([("t", None), ("s", "S")], "name string, canonical string")
+    w = edges.rewritten(e, canon, cap_anchors=2).collect()
+    assert [(r.subject, src(r), r.merged) for r in w] == [("S", ["s1", "s2"], 5)]
+    assert tuple(edges.rewrite_losses(e, canon).first()) == (2, 0)
+
+
 def test_rewire(spark):
     e = table(spark, [("a", "trained_on", "x"), ("x", "trained_on", "b"), ("x", "inspired_by", "c"), ("a", "trained_on", "k"), ("x", "trained_on", "k")])
     got = {(r.subject, r.relation, r.object, r.via) for r in edges.rewired(e, spark.createDataFrame([("x",)], "node string")).collect()}
