@@ -30,11 +30,11 @@ def pooled(c: DataFrame) -> DataFrame:
 
 
 def verdicts_of(clusters: DataFrame) -> DataFrame:
-    """A verdict table made of the clusters by rule, in place of an outside judge: a claim two systems
-    make is verified, one a single system makes is refuted or unclear by its length."""
-    c = claims(clusters)
-    g = c.groupBy("cluster_id", "target").agg(F.countDistinct("system").alias("n"), F.max(F.length(F.coalesce("description", F.lit("")))).alias("l"))
-    return g.select("cluster_id", "target", F.when(F.col("n") >= 2, "verified").when(F.col("l") > 80, "refuted").otherwise("unclear").alias("verdict"))
+    """A stand-in for a table of outside judgements, which the test tables lack: one verdict per cluster with members,
+    spread over all kinds by a hash of its id.  The operators take any table of these columns."""
+    c = claims(clusters).where("cluster_id is not null").select("cluster_id", "target").distinct()
+    digit = F.substring(F.md5("cluster_id"), 1, 1)
+    return c.select("cluster_id", "target", F.when(digit < "b", "verified").when(digit < "d", "refuted").when(digit < "f", "unclear").otherwise("error").alias("verdict"))
 
 
 def precision(c: DataFrame, verdicts: DataFrame, systems: DataFrame, by_target: bool = False) -> DataFrame:

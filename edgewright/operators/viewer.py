@@ -83,17 +83,22 @@ def stats(records: DataFrame, nodes: DataFrame, lattice: DataFrame) -> DataFrame
     return out
 
 
+def universe(nodes: DataFrame) -> DataFrame:
+    """Nodes on the lattice that have a link."""
+    return nodes.where("kind <> 'off_lattice' and n_links <> 0")
+
+
 def view(records: DataFrame, nodes: DataFrame, node_kinds: tuple[str, ...], dependency_kinds: tuple[str, ...], relations: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """``(edges, nodes)`` shown under a filter: of the nodes on the lattice with a link, those of the given kinds and the
     nodes of other kinds next to one of them (bridges); the edges of the given kinds and relations (all, if none is given) between
     them; nodes without such an edge are left out."""
-    universe = nodes.where("kind <> 'off_lattice' and n_links <> 0")
-    chosen = universe.where(F.col("kind").isin(*node_kinds)).select("id")
+    start = universe(nodes)
+    chosen = start.where(F.col("kind").isin(*node_kinds)).select("id")
     own = records.where(F.col("dependency_kind").isin(*dependency_kinds))
     own = own.where(F.col("relation").isin(*relations)) if relations else own
     near = records.join(chosen.withColumnRenamed("id", "subject_id"), "subject_id", "left_semi").select(F.col("object_id").alias("id"))
     near = near.unionByName(records.join(chosen.withColumnRenamed("id", "object_id"), "object_id", "left_semi").select(F.col("subject_id").alias("id")))
-    shown = chosen.unionByName(universe.select("id").join(near.distinct(), "id", "left_semi")).distinct()
+    shown = chosen.unionByName(start.select("id").join(near.distinct(), "id", "left_semi")).distinct()
     edges = own.join(shown.withColumnRenamed("id", "subject_id"), "subject_id", "left_semi").join(shown.withColumnRenamed("id", "object_id"), "object_id", "left_semi")
     ends = edges.select(F.explode(F.array("subject_id", "object_id")).alias("id")).distinct()
     return edges, nodes.join(ends, "id", "left_semi")

@@ -19,6 +19,11 @@ def p2_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.select("node_kind", "node_id", "root_id", "depth", "pre", "size", (F.col("size") - 1).alias("n_descendants"))
 
 
+def p2_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes in the subtree of every run and item, itself included; null on loops."""
+    return p2_ranges(spark, sf_dir).select("node_kind", "node_id", "size")
+
+
 def p2_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = hierarchy.paths(hierarchy.nested_sets(hierarchy.run_links(table(spark, sf_dir, "runs"))))
     return sets.select("id", F.array_join("path", "/").alias("path"), "depth")
@@ -50,7 +55,7 @@ def p4_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hotkeys.degrees(table(spark, sf_dir, "merge_relations"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_ranges, p2_paths, p2_node_paths, p2_descendants, p2_node_descendants, p4_found, p4_degrees)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_ranges, p2_sizes, p2_paths, p2_node_paths, p2_descendants, p2_node_descendants, p4_found, p4_degrees)}
 
 _RUN_LINKS = r"""
 links as (
@@ -72,6 +77,17 @@ ipar as (select c.item_id, arg_min(p.item_id, (-len(p.fs)) * 1000000000 + p.item
          from its c join its p on c.family = p.family and len(p.fs) < len(c.fs) and list_has_all(c.fs, p.fs) group by c.item_id),
 """
 
+_FOREST = "with recursive" + _RUN_LINKS + "," + _ITEM_LINKS + r"""al as (select 'run' as node_kind, id as node_id, parent from links
+       union all select 'item', item_id::varchar, parent::varchar from its left join ipar using (item_id))"""
+_WALK = """walk(node_kind, node_id, root_id, depth, path) as (
+  select node_kind, node_id, node_id, 0, node_id from al where parent is null
+  union all
+  select a.node_kind, a.node_id, w.root_id, w.depth + 1, w.path || '/' || a.node_id from al a join walk w on a.node_kind = w.node_kind and a.parent = w.node_id)"""
+_BELOW = """below(node_kind, ancestor, descendant, distance) as (
+  select a.node_kind, a.parent, a.node_id, 1 from al a join walk w using (node_kind, node_id) where a.parent is not null
+  union all
+  select b.node_kind, p.parent, b.descendant, b.distance + 1 from below b join al p on p.node_kind = b.node_kind and p.node_id = b.ancestor where p.parent is not null)"""
+
 ORACLE = {
     "p2_descendants": "with recursive" + _ITEM_LINKS.rstrip().rstrip(",") + """,
 w(ancestor, descendant, distance) as (
@@ -85,14 +101,10 @@ walk(id, path, depth) as (
   union all
   select l.id, w.path || '/' || l.id, w.depth + 1 from links l join walk w on l.parent = w.id)
 select l.id, w.path, coalesce(w.depth, -1)::int as depth from links l left join walk w on w.id = l.id""",
-    "p2_found": "with recursive" + _RUN_LINKS + "," + _ITEM_LINKS + r"""al as (select 'run' as node_kind, id as node_id, parent from links
-       union all select 'item', item_id::varchar, parent::varchar from its left join ipar using (item_id)),
-walk(node_kind, node_id, root_id, depth) as (
-  select node_kind, node_id, node_id, 0 from al where parent is null
-  union all
-  select a.node_kind, a.node_id, w.root_id, w.depth + 1 from al a join walk w on a.node_kind = w.node_kind and a.parent = w.node_id)
-select a.node_kind, a.node_id, coalesce(w.root_id, '') as root_id, coalesce(w.depth, -1)::int as depth
-from al a left join walk w on a.node_kind = w.node_kind and a.node_id = w.node_id""",
+    "p2_found": f"{_FOREST}, {_WALK} select a.node_kind, a.node_id, coalesce(w.root_id, '') as root_id, coalesce(w.depth, -1)::int as depth from al a left join walk w using (node_kind, node_id)",
+    "p2_node_paths": f"{_FOREST}, {_WALK} select a.node_kind, a.node_id, w.path, coalesce(w.depth, -1)::int as depth, coalesce(w.root_id, '') as root_id from al a left join walk w using (node_kind, node_id)",
+    "p2_node_descendants": f"{_FOREST}, {_WALK}, {_BELOW} select node_kind, ancestor, descendant, distance::int as distance from below",
+    "p2_sizes": f"{_FOREST}, {_WALK}, {_BELOW}, n as (select node_kind, ancestor as node_id, count(*) as c from below group by 1, 2) select a.node_kind, a.node_id, case when w.node_id is not null then coalesce(n.c, 0) + 1 end as size from al a left join walk w using (node_kind, node_id) left join n using (node_kind, node_id)",
     "p4_found": """
 with l as (select 'subject' as field_name, subject as key_value from merge_relations
            union all select 'object', object from merge_relations)

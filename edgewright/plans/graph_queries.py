@@ -87,8 +87,9 @@ def system_precision_by_target(spark, d):
 
 
 def pending_work(spark, d):
+    """Claims still to be judged after a pass in which some judgements failed."""
     c = table(spark, d, "claim_clusters")
-    return evaluate.pending(c, evaluate.verdicts_of(c).where("verdict <> 'unclear'"))
+    return evaluate.pending(c, evaluate.verdicts_of(c).where("verdict <> 'error'"))
 
 
 def audit_totals(spark, d):
@@ -146,7 +147,7 @@ _ORGX, _BAREX = r"lower(regexp_extract(name, '^([A-Za-z0-9][A-Za-z0-9_.\-]*)/(.+
 _LX = f"{_NODES}, lx as (select name, degree, regexp_replace(lower({_BAREX}), '[^a-z0-9]', '', 'g') as lex, {_ORGX} as org from nodes)"
 _CLAIMS = f"""m as (select cluster_id, target, m.member_no as ord, m.system as system, lower(trim(m.subject)) as s, lower(trim(m.object)) as o, m.description as description from (select distinct on (cluster_id) * from claim_clusters) c, unnest(members) u(m)),
 cl as (select cluster_id, target, ord, system, {_CANON.format('s')} as subject, {_CANON.format('o')} as object, description from m),
-vd as (select cluster_id, target, case when count(distinct system) >= 2 then 'verified' when max(length(coalesce(description, ''))) > 80 then 'refuted' else 'unclear' end as verdict from cl group by 1, 2)"""
+vd as (select distinct cluster_id, target, case when md5(cluster_id)[1] < 'b' then 'verified' when md5(cluster_id)[1] < 'd' then 'refuted' when md5(cluster_id)[1] < 'f' then 'unclear' else 'error' end as verdict from cl where cluster_id is not null)"""
 _COUNTS = "count(*) filter (where verdict = 'verified') as verified, count(*) filter (where verdict = 'refuted') as refuted, count(*) filter (where verdict = 'unclear') as unclear, count(*) filter (where verdict = 'error') as error, count(*) filter (where verdict in ('verified', 'refuted')) as decided, round(count(*) filter (where verdict = 'verified') / nullif(count(*) filter (where verdict in ('verified', 'refuted')), 0)::double, 9) as precision"
 _W = "case relation " + " ".join(f"when '{r}' then {w}" for r, w in graph.WEIGHTS.items()) + " else 1 end"
 
@@ -165,6 +166,10 @@ v1 as (select object as node, count(*) as v from edges where subject in (select
 v2 as (select node, sum(v)::bigint as v from (select * from v1 union all select object, count(*) from edges where subject in (select node from x2) and object not in (select node from x2) group by 1) group by 1),
 p2 as (select node, v from v2 where node not in (select node from x2) order by 2 desc, 1 limit 5) select 1 as round, node, v as votes from p1 union all select 2, node, v from p2""",
     "hub_batches": f"with {EDGES}, h as (select subject from edges group by 1 order by count(*) desc, 1 limit 75), r as (select subject as hub, rel_id, row_number() over (partition by subject order by coalesce(len(anchor_list), 0) desc, rel_id) as r from edges where subject in (select subject from h)) select hub, rel_id, ((r - 1) // 40)::int as batch_no from r where r <= 200",
+    "hub_audit_batches": " union all ".join(
+        f"select * from (with {EDGES}, h as (select {side} as node from edges group by 1 order by count(*) desc, 1 limit {k}), r as (select {side} as hub, rel_id, row_number() over (partition by {side} order by coalesce(len(anchor_list), 0) desc, rel_id) as r from edges where {side} in (select node from h)) select hub, '{side}' as role, rel_id, ((r - 1) // 40)::int as batch_no from r where r <= 200)"
+        for side, k in (("subject", 75), ("object", 30))
+    ),
     "affix_match": f"with {_LX} select distinct a.name as bare_name, b.name as full_name from lx a join lx b on a.org = '' and b.org <> '' and length(a.lex) >= 4 and (starts_with(b.lex, a.lex) or ends_with(b.lex, a.lex))",
     "suffix_pairs": f"with {_NODES}, c as (select name, case {' '.join(f'''when ends_with(name, '{s}') then left(name, length(name) - {len(s)})''' for s in dedup.SUFFIXES)} end as stripped from nodes) select name, stripped from c where stripped <> '' and stripped in (select name from nodes)",
     "cross_org_names": f"with {_LX} select lex, count(*) as n_names, count(distinct nullif(org, '')) as n_orgs, count(*) filter (where org = '') as n_bare from lx where lex <> '' group by 1 having count(*) between 2 and 6 and (count(distinct nullif(org, '')) >= 2 or (count(distinct nullif(org, '')) >= 1 and count(*) filter (where org = '') >= 1))",
@@ -174,7 +179,7 @@ j as (select a, b, len(list_intersect(x.ts, y.ts)) as n_shared, len(list_distinc
     "pool_clusters": f"with {_CLAIMS} select target, subject, object, count(*) as n_claims, count(distinct system) as n_systems, coalesce(array_to_string(list_sort(list(distinct system) filter (where system is not null)), '|'), '') as systems, first(description order by length(coalesce(description, '')) desc, cluster_id, ord) as description from cl where subject <> '' and object <> '' group by 1, 2, 3",
     "system_precision": f"with {_CLAIMS}, p as (select distinct cluster_id, system from cl where system is not null), g as (select system, {_COUNTS} from p join vd using (cluster_id) group by 1) select s.system, coalesce(verified, 0) as verified, coalesce(refuted, 0) as refuted, coalesce(unclear, 0) as unclear, coalesce(error, 0) as error, coalesce(decided, 0) as decided, precision from (select distinct system from eval_systems) s left join g using (system)",
     "system_precision_by_target": f"with {_CLAIMS}, p as (select distinct cluster_id, system from cl where system is not null) select system, target, {_COUNTS} from p join vd using (cluster_id) group by 1, 2",
-    "pending_work": f"with {_CLAIMS} select cluster_id, target from claim_clusters where cluster_id not in (select cluster_id from vd where verdict <> 'unclear')",
+    "pending_work": f"with {_CLAIMS} select cluster_id, target from claim_clusters where cluster_id not in (select cluster_id from vd where verdict <> 'error')",
     "audit_totals": f"with {_CLAIMS} select count(*) as total, count(*) filter (where verdict = 'verified') as verified, count(*) filter (where verdict = 'refuted') as refuted, count(*) filter (where verdict = 'unclear') as unclear, count(*) filter (where verdict = 'error') as error, count(*) filter (where verdict in ('verified', 'refuted')) as decisive, round(count(*) filter (where verdict = 'verified') / nullif(count(*) filter (where verdict in ('verified', 'refuted')), 0)::double, 9) as precision from vd",
     "resolve_topk": r"""with m as (select distinct object as mention from merge_relations where object is not null), mt as (select mention, regexp_replace(replace(lower(mention), '+', 'plus'), '[^a-z0-9]', '', 'g') as form, list_distinct(list_filter(regexp_split_to_array(lower(mention), '[/_\-. ]+'), lambda t: t <> '')) as ts from m),
 e as (select distinct ref_id as entry_id, unnest(list_concat([formal_name], coalesce(aliases, []))) as surface from ref_artifacts), et as (select entry_id, regexp_replace(replace(lower(surface), '+', 'plus'), '[^a-z0-9]', '', 'g') as form, list_distinct(list_filter(regexp_split_to_array(lower(surface), '[/_\-. ]+'), lambda t: t <> '')) as es from e),

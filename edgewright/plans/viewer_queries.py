@@ -10,8 +10,6 @@ from edgewright.operators import viewer as V
 from edgewright.plans.edge_queries import STATED
 from edgewright.runtime import table
 
-KINDS, LEAST = ("model",), ("direct",)
-
 
 def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return E.stated_edges(table(spark, d, "merge_relations")), table(spark, d, "lattice_items")
@@ -32,17 +30,10 @@ def viewer_stats(spark, d):
     return V.stats(records, V.node_records(records, items), items)
 
 
-def viewer_view(spark, d):
-    """Edges shown with models chosen and direct dependencies only."""
-    e, items = _parts(spark, d)
-    records = V.edge_records(e, items)
-    return V.view(records, V.node_records(records, items), KINDS, LEAST)[0].select("rel_id")
-
-
-def viewer_shown_nodes(spark, d):
+def viewer_universe(spark, d):
+    """Nodes the viewer starts from: on the lattice, with a link."""
     e, items = _parts(spark, d)
-    records = V.edge_records(e, items)
-    return V.view(records, V.node_records(records, items), KINDS, LEAST)[1].select("id", "kind")
+    return V.universe(V.node_records(V.edge_records(e, items), items)).select("id", "kind", "primary_url")
 
 
 def viewer_ego(spark, d):
@@ -67,7 +58,7 @@ def relate_stats(spark, d):
     return V.relate_stats(*_parts(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (viewer_edges, viewer_nodes, viewer_stats, viewer_view, viewer_shown_nodes, viewer_ego, evaluation_edges, lattice_rows, relate_stats)}
+QUERIES = {f.__name__: f for f in (viewer_edges, viewer_nodes, viewer_stats, viewer_universe, viewer_ego, evaluation_edges, lattice_rows, relate_stats)}
 
 _IN = "(select distinct formal_name from lattice_items where formal_name <> '')"
 _REC = f"""{STATED}, fn as {_IN}, rec as (select rel_id, case when s.formal_name is not null then subject when coalesce(subject, '') = '' then '' else 'text::' || subject end as subject_id, s.formal_name is not null as subject_in_lattice,
@@ -82,10 +73,6 @@ dg as (select id, sum(i)::bigint as in_degree, sum(o)::bigint as out_degree from
 nodes as (select coalesce(dg.id, ln.id) as id, case when ln.id is null then 'off_lattice' else ln.i.kind end as kind, case when ln.id is null then '(off-lattice)' else coalesce(ln.i.family, '') end as family, coalesce(len(ln.i.links), 0)::int as n_links,
 coalesce(best.x.url, '') as primary_url, coalesce(best.x.kind, '') as primary_link_kind, case when ln.id is null then substring(dg.id, 7) else coalesce(ln.i.description, '') end as description, coalesce(in_degree, 0) as in_degree, coalesce(out_degree, 0) as out_degree
 from dg full join ln on ln.id = dg.id left join best on best.id = ln.id)"""
-_VIEW = f"""{_NODE}, uni as (select * from nodes where kind <> 'off_lattice' and n_links <> 0), ch as (select id from uni where kind in ('model')),
-near as (select object_id as id from rec where subject_id in (select id from ch) union select subject_id from rec where object_id in (select id from ch)),
-shown as (select id from ch union select id from uni where id in (select id from near)),
-sh as (select * from rec where dependency_kind in ('direct') and subject_id in (select id from shown) and object_id in (select id from shown))"""
 
 ORACLE = {
     "viewer_edges": f"with {_REC} select * from rec",
@@ -93,8 +80,7 @@ ORACLE = {
     "viewer_stats": f"""with {_NODE} select 'nodes' as stat, case when kind = 'off_lattice' then 'off_lattice_node' when kind in ('model', 'dataset') then 'lattice_node' else 'other_node' end as name, count(*) as n from nodes group by 2
 union all select 'edges', case when known_relation then 'known_relation' else 'coined_relation' end, count(*) from rec group by 2 union all select 'families', coalesce(family, ''), count(*) from li group by 2
 union all select 'relations', coalesce(relation, ''), count(*) from rec group by 2 union all select 'dependency_kinds', coalesce(nullif(dependency_kind, ''), 'unknown'), count(*) from rec group by 2 union all select 'relation_classes', relation_class, count(*) from rec group by 2""",
-    "viewer_view": f"with {_VIEW} select rel_id from sh",
-    "viewer_shown_nodes": f"with {_VIEW} select id, kind from nodes where id in (select subject_id from sh union select object_id from sh)",
+    "viewer_universe": f"with {_NODE} select id, kind, primary_url from nodes where kind <> 'off_lattice' and n_links <> 0",
     "viewer_ego": f"with {STATED}, top as (select object as node from edges where object <> '' group by 1 order by count(*) desc, 1 limit 1) select rel_id from edges where subject = (select node from top) or object = (select node from top)",
     "evaluation_edges": f"with {STATED}, a as (select rel_id, unnest(anchor_list) as a, unnest(range(len(anchor_list)))::int as place from edges) select rel_id, place, coalesce(a.source, '') as source, coalesce(a.position, '') as location, coalesce(a.excerpt, '') as excerpt, coalesce(a.explanation, '') as explanation from a where a is not null",
     "lattice_rows": "select item_id, formal_name, family, kind, links[1].url as link, substring(coalesce(description, ''), 1, 120) as description from (select distinct on (item_id) * from lattice_items where item_id is not null)",
