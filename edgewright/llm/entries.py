@@ -31,6 +31,8 @@ LIST_ROWS = 1_000_000
 
 #: A last word of at least one in so many of the list's names is a stage; there are at most so many.
 STAGE_SHARE = 200
+#: Words a worker remembers.
+WORDS_MET = 100_000
 #: Other words for common stages, of which neither begins the other.
 SYNONYMS = {"pretrained": "base", "foundation": "base", "supervised": "sft", "finetuned": "sft", "preference": "dpo", "conversational": "chat", "reasoning": "think", "reasoner": "think", "rm": "reward"}
 #: Words beside a name that name nothing.
@@ -50,6 +52,7 @@ class Stages:
     def __init__(self, words: Iterable[str], names: Iterable[str] = ()):
         self.words = sorted(set(words))
         self.names = frozenset(names)
+        self.met: dict[str, str | None] = {}
         self.exact = {w: w for w in self.words} | {f: s for f, s in SYNONYMS.items() if s in set(self.words)}
         self.forms = sorted({*self.exact, *(w[:n] for w in self.words for n in range(4, len(w)))}, key=lambda f: (-len(f), f))
 
@@ -59,6 +62,13 @@ class Stages:
         known = self.exact.get(word)
         if known is not None or len(word) < 4 or word in self.names:
             return known
+        if word not in self.met:
+            if len(self.met) >= WORDS_MET:
+                self.met.clear()
+            self.met[word] = self._near(word)
+        return self.met[word]
+
+    def _near(self, word: str) -> str | None:
         best = (0, None)
         for stage in self.words:
             same = len(commonprefix((word, stage)))
