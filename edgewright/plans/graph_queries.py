@@ -123,6 +123,11 @@ def lattice_search(spark, d):
     return ledger.lattice_search(table(spark, d, "lattice_items"), "instruct")
 
 
+def lattice_unlinked(spark, d):
+    """The first models without a link."""
+    return ledger.lattice_search(table(spark, d, "lattice_items"), kind="model", linked=False)
+
+
 def table_counts(spark, d):
     return ledger.table_counts({t: table(spark, d, t) for t in ("runs", "sources", "lattice_items", "merge_relations", "claim_clusters")})
 
@@ -137,7 +142,7 @@ QUERIES = {
     "signature_buckets": _nodes(dedup.signature_buckets), "affix_match": _nodes(dedup.affix_pairs), "suffix_pairs": _nodes(dedup.suffix_pairs), "cross_org_names": _nodes(dedup.cross_org_names), "jaccard_candidates": _nodes(dedup.token_pairs),
     "pool_clusters": pool_clusters, "system_precision": system_precision, "system_precision_by_target": system_precision_by_target, "pending_work": pending_work, "audit_totals": audit_totals, "resolve_topk": resolve_topk, "resolve_candidates": resolve_candidates,
     "source_ledger": _table(ledger.url_ledger, "sources"), "content_ledger": _table(ledger.content_ledger, "sources"), "batch_fingerprint": _table(ledger.batch_fingerprints, "sources"), "names_packet": _table(ledger.names_packet, "merge_relations"),
-    "latest_runs": latest_runs, "run_counters": _table(ledger.run_counters, "runs"), "lattice_search": lattice_search, "table_counts": table_counts,
+    "latest_runs": latest_runs, "run_counters": _table(ledger.run_counters, "runs"), "lattice_search": lattice_search, "lattice_unlinked": lattice_unlinked, "table_counts": table_counts,
 }
 
 _CANON = "case when contains({0}, '/') then split_part({0}, '/', 1) || '/' || trim(regexp_replace(substring({0}, instr({0}, '/') + 1), '[^a-z0-9]+', '-', 'g'), '-') else trim(regexp_replace({0}, '[^a-z0-9]+', '-', 'g'), '-') end"
@@ -192,5 +197,6 @@ r as (select mention, entry_id, score, (row_number() over (partition by mention
     "latest_runs": "select stage, first(id order by started_at desc, id desc) as id, max(started_at) as started_at, count(distinct id) as n_runs from runs where ended_at is not null and started_at is not null group by 1",
     "run_counters": "with r as (select distinct on (id) * from runs), n as (select stage, try_cast(json_extract_string(case when json_valid(attrs) then attrs end, '$.edge_count') as bigint) as n from r) select stage, count(*) as n_runs, sum(n)::bigint as edges, count(n) as with_edges from n group by 1",
     "lattice_search": "with i as (select distinct on (item_id) * from lattice_items) select item_id, family, kind, formal_name from i where contains(lower(formal_name), 'instruct') or len(list_filter(aliases, lambda a: contains(lower(a), 'instruct'))) > 0 order by item_id limit 50",
+    "lattice_unlinked": "with i as (select distinct on (item_id) * from lattice_items) select item_id, family, kind, formal_name from i where kind = 'model' and coalesce(len(links), 0) = 0 order by item_id limit 50",
     "table_counts": " union all ".join(f"select '{t}' as table_name, count(*) as n from {t}" for t in ("claim_clusters", "lattice_items", "merge_relations", "runs", "sources")),
 }

@@ -82,3 +82,32 @@ def folder_fingerprint(spark: SparkSession, path: str) -> DataFrame:
     rel = F.regexp_replace("file", "^.*" + path.rstrip("/").rsplit("/", 1)[-1] + "/", "")
     line = F.concat(rel, F.lit("\0"), F.col("sha256"), F.lit("\0"))
     return file_hashes(spark, path).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ""), 256).alias("fingerprint"), F.count("*").alias("n_files"))
+
+
+def stream_log(spark: SparkSession, path: str) -> DataFrame:
+    """``file, turns, tool_calls, tools, final_text, cost_usd, input_tokens, output_tokens`` of logs of one JSON record per line:
+    turns and tool calls of assistant records, the last text, cost and tokens of the last result record that gives them.
+
+    Lines that are no JSON objects are left out.  The place of a line is its offset in its file.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    shape = "type string, total_cost_usd double, usage struct<input_tokens:bigint,output_tokens:bigint>, message struct<content:array<struct<type:string,name:string,text:string>>>"
+    r = lines.withColumn("r", F.from_json("value", shape)).where("r.type is not null")
+    parts = F.coalesce("r.message.content", F.array().cast("array<struct<type:string,name:string,text:string>>"))
+    said = F.col("r.type") == "assistant"
+    tools = F.transform(F.filter(parts, lambda p: p["type"] == "tool_use"), lambda p: F.coalesce(p["name"], F.lit("tool_use")))
+    text = F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(F.filter(parts, lambda p: (p["type"] == "text") & (p["text"] != "")), lambda p: p["text"])), -1)
+    last = lambda c: F.max_by(c, F.when(c.isNotNull(), F.col("at")))
+    row = r.select("file", "at", said.alias("said"), F.when(said, tools).alias("tools"), F.when(said, text).alias("text"), F.col("r.total_cost_usd").alias("cost"), F.col("r.usage.input_tokens").alias("i"), F.col("r.usage.output_tokens").alias("o"))
+    return row.groupBy("file").agg(
+        F.sum(F.col("said").cast("long")).alias("turns"), F.sum(F.coalesce(F.size("tools"), F.lit(0))).alias("tool_calls"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("tools")))).alias("tools"), last(F.col("text")).alias("final_text"),
+        F.coalesce(last(F.col("cost")), F.lit(0.0)).alias("cost_usd"), F.coalesce(last(F.col("i")), F.lit(0)).alias("input_tokens"), F.coalesce(last(F.col("o")), F.lit(0)).alias("output_tokens"),
+    )
+
+
+def rate_limited(spark: SparkSession, path: str, needles: tuple[str, ...]) -> bool:
+    """Whether a line of the logs holds one of ``needles`` in any case."""
+    hit = F.lit(False)
+    for n in needles:
+        hit = hit | F.lower("value").contains(n.lower())
+    return not spark.read.text(path).where(hit).isEmpty()

@@ -56,11 +56,20 @@ def run_counters(runs: DataFrame) -> DataFrame:
     return runs.dropDuplicates(["id"]).groupBy("stage").agg(F.count("*").alias("n_runs"), F.sum(n).alias("edges"), F.count(n).alias("with_edges"))
 
 
-def lattice_search(lattice: DataFrame, needle: str, most: int = 50) -> DataFrame:
-    """Items whose formal name or an alias holds ``needle`` in any case: the first ``most`` by item_id."""
-    low = needle.lower()
-    hit = F.lower("formal_name").contains(low) | F.coalesce(F.exists("aliases", lambda a: F.lower(a).contains(low)), F.lit(False))
-    return lattice.dropDuplicates(["item_id"]).where(F.coalesce(hit, F.lit(False))).orderBy("item_id").limit(most).select("item_id", "family", "kind", "formal_name")
+def lattice_search(lattice: DataFrame, needle: str | None = None, most: int = 50, kind: str | None = None, family: str | None = None, linked: bool | None = None) -> DataFrame:
+    """Items whose formal name or an alias holds ``needle`` in any case, of a kind, of a family, with or without a link, each
+    if given: the first ``most`` by item_id."""
+    it = lattice.dropDuplicates(["item_id"])
+    if needle is not None:
+        low = needle.lower()
+        hit = F.lower("formal_name").contains(low) | F.coalesce(F.exists("aliases", lambda a: F.lower(a).contains(low)), F.lit(False))
+        it = it.where(F.coalesce(hit, F.lit(False)))
+    for c, v in (("kind", kind), ("family", family)):
+        it = it if v is None else it.where(F.col(c) == v)
+    if linked is not None:
+        has = F.coalesce(F.size("links"), F.lit(0)) > 0
+        it = it.where(has if linked else ~has)
+    return it.orderBy("item_id").limit(most).select("item_id", "family", "kind", "formal_name")
 
 
 def table_counts(frames: dict[str, DataFrame]) -> DataFrame:

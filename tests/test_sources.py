@@ -71,3 +71,17 @@ def test_heuristic_dedup(spark):
     e = table(spark, [("org/Foo-7B", "r", "org/Bar-7B"), ("ORG/foo-7b", "r", "org/Bar-7B"), ("org/Foo-7B", "r", "/scratch/x"), ("org/Foo-7B", "r", "stuff"), ("org/Foo-7B", "q", "ORG/foo-7b")])
     got = {(r.subject, r.object, r.merged) for r in pipeline.heuristic_dedup(e).collect()}
     assert got == {("org/Foo-7B", "org/Bar-7B", 2)}
+
+
+def test_stream_log(spark, tmp_path):
+    from edgewright.sources import files
+
+    say = lambda *parts: json.dumps({"type": "assistant", "message": {"content": list(parts)}})
+    lines = [say({"type": "text", "text": "first"}, {"type": "tool_use", "name": "Read"}), "", "no json", say({"type": "tool_use"}), say({"type": "text", "text": "last"}), json.dumps({"type": "result", "total_cost_usd": 0.5, "usage": {"input_tokens": 7, "output_tokens": 3}}), json.dumps({"type": "user"})]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines))
+    (tmp_path / "b.jsonl").write_text("Usage LIMIT reached\n" + say({"type": "text", "text": ""}))
+    got = {r.file.rsplit("/", 1)[1]: r for r in files.stream_log(spark, str(tmp_path)).collect()}
+    a, b = got["a.jsonl"], got["b.jsonl"]
+    assert (a.turns, a.tool_calls, a.tools, a.final_text, a.cost_usd, a.input_tokens, a.output_tokens) == (3, 2, ["Read", "tool_use"], "last", 0.5, 7, 3)
+    assert (b.turns, b.tool_calls, b.final_text, b.cost_usd) == (1, 0, None, 0.0)
+    assert files.rate_limited(spark, str(tmp_path), ("usage limit",)) and not files.rate_limited(spark, str(tmp_path), ("too many",))
