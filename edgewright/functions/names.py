@@ -50,7 +50,14 @@ def file_slug(c: Column, default: str = "source") -> Column:
     return F.when(s == "", F.lit(default)).otherwise(s)
 
 
+#: The patterns of an organisation and its rest, token borders, sizes, versions, month-day dates, and paths and addresses of
+#: internal stores.
 _ORG = r"^([A-Za-z0-9][A-Za-z0-9_.\-]*)/(.+)$"
+_TOKEN_BORDER = r"[\s\-_/.\[\](),=:]+"
+_SIZE = r"\b(\d+(?:\.\d+)?)[Bb]\b"
+_VERSION = r"\b(\d+(?:[._]\d+)+|\d+)\b"
+_DATE = r"(?<!\d)(0[1-9]\d{2}|1[0-2]\d{2})(?!\d)"
+_INTERNAL = r"^(?:/|gs://|weka://|s3://|/weka/|/scratch/|/fsx/)"
 
 
 def org(c: Column) -> Column:
@@ -65,16 +72,21 @@ def bare(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Distinct lower-case tokens of two characters or more."""
-    return F.array_distinct(F.filter(F.split(F.lower(c), r"[\s\-_/.\[\](),=:]+"), lambda t: F.length(t) > 1))
+    return F.array_distinct(F.filter(F.split(F.lower(c), _TOKEN_BORDER), lambda t: F.length(t) > 1))
 
 
 def sizes(c: Column) -> Column:
     """Sorted distinct sizes such as ``7`` of ``7B``."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(r"\b(\d+(?:\.\d+)?)[Bb]\b"), 1)))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(_SIZE), 1)))
 
 
 #: Stage keywords.
-STAGES = "sft dpo instruct think base rl rl-zero rlzero rlhf rlvr reasoning content-safety gen-rm genrm preview fp8 bf16 nvfp4 onnx fp16 int4 int8 quantized chat completions completion reward rm policy retriever encoder embedding embed tokenizer checkpoint intermediate mid cpt awq gguf".split()
+STAGES = (
+    "sft", "dpo", "instruct", "think", "base", "rl", "rl-zero", "rlzero", "rlhf", "rlvr",
+    "reasoning", "content-safety", "gen-rm", "genrm", "preview", "fp8", "bf16", "nvfp4", "onnx", "fp16",
+    "int4", "int8", "quantized", "chat", "completions", "completion", "reward", "rm", "policy", "retriever",
+    "encoder", "embedding", "embed", "tokenizer", "checkpoint", "intermediate", "mid", "cpt", "awq", "gguf",
+)
 
 
 def stage_substrings(c: Column) -> Column:
@@ -90,13 +102,13 @@ def stage_tokens(c: Column) -> Column:
 
 def versions(c: Column) -> Column:
     """Numbers of up to eight characters that no letter follows, ``_`` as ``.``, without sizes."""
-    found = F.transform(F.regexp_extract_all(c, F.lit(r"\b(\d+(?:[._]\d+)+|\d+)\b"), 1), lambda v: F.replace(v, F.lit("_"), F.lit(".")))
+    found = F.transform(F.regexp_extract_all(c, F.lit(_VERSION), 1), lambda v: F.replace(v, F.lit("_"), F.lit(".")))
     return F.array_sort(F.array_except(F.array_distinct(F.filter(found, lambda v: F.length(v) <= 8)), sizes(c)))
 
 
 def dates(c: Column) -> Column:
     """Four-digit month-day tokens, no digit beside them."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?<!\d)(0[1-9]\d{2}|1[0-2]\d{2})(?!\d)"), 1)))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(_DATE), 1)))
 
 
 def strip(c: Column) -> Column:
@@ -118,13 +130,14 @@ def address_facets(c: Column) -> Column:
 
 
 def is_internal_path(c: Column) -> Column:
-    return c.rlike(r"^(?:/|gs://|weka://|s3://|/weka/|/scratch/|/fsx/)")
+    return c.rlike(_INTERNAL)
 
 
 def categorical_drop(c: Column) -> Column:
     """Names that name no artifact: empty, an internal path, a URL off the hub, long prose."""
+    c = strip(c)
     paren = F.regexp_extract(c, r"\(([^)]*)\)", 1)
-    return c.isNull() | (F.trim(c) == "") | is_internal_path(c) | (c.contains("://") & ~c.startswith("https://huggingface.co/")) | (F.length(paren) > 50) | (F.length(c) > 200)
+    return c.isNull() | (c == "") | is_internal_path(c) | (c.contains("://") & ~c.startswith("https://huggingface.co/")) | (F.length(paren) > 50) | (F.length(c) > 200)
 
 
 def looks_like_concept(c: Column) -> Column:

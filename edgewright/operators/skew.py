@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Keys with more than one in so many rows are hot; there are at most so many of them.
 HEAVY_SHARE = 1000
+#: So many rows are no load for one task, whatever their keys; up to here nothing is split.
+PLAIN_ROWS = 500_000
 
 
 def meet(rows: DataFrame, targets: DataFrame, on: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
@@ -17,6 +19,8 @@ def meet(rows: DataFrame, targets: DataFrame, on: list[str], weight: str, total:
     gets all rows of a hot key; the others meet in a shuffle.  ``targets`` should be staged: it is
     read once more to see whether a key is hot.
     """
+    if total <= PLAIN_ROWS:
+        return rows.join(targets.drop(weight), on, how)
     heavy = F.col(weight) * HEAVY_SHARE > total
     hot = targets.where(heavy).drop(weight)
     if hot.isEmpty():

@@ -16,3 +16,11 @@ def spark(tmp_path_factory):
     s.sparkContext.setLogLevel("OFF")
     yield s
     s.stop()
+
+
+@pytest.fixture(autouse=True)
+def split_small_tables_too(monkeypatch):
+    """The fixtures are small, but hot keys are to be split off in them."""
+    from edgewright.operators import skew
+
+    monkeypatch.setattr(skew, "PLAIN_ROWS", 0)
