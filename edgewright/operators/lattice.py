@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgewright.functions import names
+from edgewright.runtime import Stage
 
 #: Link kinds that anchor one artifact only.
 UNIQUE_LINKS = ("hf_model", "hf_dataset", "vendor_docs")
@@ -23,12 +24,16 @@ def own_facets() -> Column:
     return F.filter("facets", lambda f: ~f.startswith("family="))
 
 
-def _subsets(df: DataFrame, facets: str, strict: bool, least: int = 0) -> DataFrame:
-    """Explodes each row into the subsets of an array column (bit masks), as ``subset``."""
+def _masked_subsets(df: DataFrame, facets: str, strict: bool, least: int = 0) -> DataFrame:
+    """Explodes each row into the subsets of an array column, as ``subset`` with its bit ``mask``."""
     n = F.size(facets)
     top = F.call_function("shiftleft", F.lit(1), n) - F.lit(2 if strict else 1)
     masks = df.withColumn("mask", F.explode(F.when(top >= least, F.sequence(F.lit(least), top)).otherwise(F.array().cast("array<int>"))))
-    return masks.withColumn("subset", F.filter(facets, lambda e, i: F.getbit(F.col("mask"), i) == 1)).drop("mask")
+    return masks.withColumn("subset", F.filter(facets, lambda e, i: F.getbit(F.col("mask"), i) == 1))
+
+
+def _subsets(df: DataFrame, facets: str, strict: bool, least: int = 0) -> DataFrame:
+    return _masked_subsets(df, facets, strict, least).drop("mask")
 
 
 def _contained(sets: DataFrame, wide: DataFrame, by: list[str]) -> DataFrame:
@@ -61,10 +66,32 @@ def subsumed_pairs(items: DataFrame) -> DataFrame:
 
 
 def direct_parents(items: DataFrame) -> DataFrame:
-    """Subsumed pairs with no item strictly between."""
-    p = subsumed_pairs(items)
-    between = p.select("family", "parent_id", F.col("child_id").alias("mid")).join(p.select("family", F.col("parent_id").alias("mid"), "child_id"), ["family", "mid"]).select("family", "parent_id", "child_id").distinct()
-    return p.join(between, ["family", "parent_id", "child_id"], "left_anti")
+    """Subsumed pairs with no item strictly between.
+
+    Found between the distinct facet sets, which are staged, and only then given their items.  What a set of up to
+    ``MOST_FACETS`` contains is known as masks of its own facets: the parents are the masks within no other, chosen per set
+    without a join.  Of what a wider set contains, a set goes that is a parent of another, or within another wide one.
+    """
+    stage = Stage(items.sparkSession, "parents")
+    it = items.select("item_id", "family", own_facets().alias("own"))
+    sets = stage.write(it.groupBy("family", "own").agg(F.min("item_id").alias("set_id"), F.collect_list("item_id").alias("ids")), "sets")
+    held = sets.select("family", F.col("own").alias("subset"), F.col("set_id").alias("parent"))
+    children = sets.select("family", "own", F.col("set_id").alias("child"))
+    probe = _masked_subsets(children.where(F.size("own").between(1, MOST_FACETS)), "own", strict=True)
+    met = probe.join(held, ["family", "subset"]).groupBy("child").agg(F.collect_list(F.struct("mask", "parent")).alias("met"))
+    within = lambda a, b: (a != b) & (a.bitwiseAND(b) == a)
+    largest = F.filter("met", lambda a: ~F.exists("met", lambda b: within(a["mask"], b["mask"])))
+    direct = met.select("child", F.explode(F.transform(largest, lambda a: a["parent"])).alias("parent"))
+    wide = children.where(F.size("own") > MOST_FACETS)
+    if not wide.isEmpty():
+        direct = stage.write(direct, "direct")
+        inside = stage.write(_contained(held, wide, ["family"]).select("child", "parent"), "inside")
+        below = direct.unionByName(inside).select(F.col("child").alias("mid"), "parent")
+        between = below.join(inside.select("child", F.col("parent").alias("mid")), "mid").select("child", "parent").distinct()
+        direct = direct.unionByName(inside.join(between, ["child", "parent"], "left_anti"))
+    of_child = sets.select(F.col("set_id").alias("child"), "family", F.col("ids").alias("child_ids"))
+    pairs = direct.join(of_child, "child").join(sets.select(F.col("set_id").alias("parent"), F.col("ids").alias("parent_ids")), "parent")
+    return pairs.select("family", F.explode("parent_ids").alias("parent_id"), "child_ids").select("family", "parent_id", F.explode("child_ids").alias("child_id"))
 
 
 def merged_items(lattice: DataFrame) -> DataFrame:
